@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Source bytes that one shard of a packed exchange stands for.
 SHARD_BYTES = 8 << 20
 
@@ -62,6 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which ``small`` broadcasts; beyond, the join is left to Catalyst.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (narrow, and written before) to be broadcast if it has at most ``rows`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def source_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of what ``df`` scans; no job runs."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -74,6 +85,7 @@ def source_bytes(df: DataFrame) -> int:
 
 def shards_for(df: DataFrame, each: int = SHARD_BYTES) -> int:
     """Number of shards for an exchange over ``df``: follows its size, 4 at least, 65,536 at most."""
+    ship(df.sparkSession)
     return int(min(max(4, -(-source_bytes(df) // each)), 1 << 16))
 
 
@@ -84,6 +96,7 @@ def by_shard(df: DataFrame, fn: Callable, schema: str, key: str = "shard") -> Da
 
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of rows that have an id; whatever other columns there are stays behind."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard
+from . import exact_dedup, mixing, ngram_jaccard, packing, robust_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+def query(name: str, operator: Callable[[DataFrame], DataFrame], oracle: str | None = None, of: str = "documents") -> None:
+    """Registers ``operator`` on the whole table ``of``."""
+    QUERIES[name] = lambda spark, sf_dir: operator(table(spark, sf_dir, of))
+    if oracle is not None:
+        ORACLES[name] = oracle
 
 
-QUERIES["op7_ngram_jaccard_join"] = op7_ngram_jaccard_join
-ORACLES["op7_ngram_jaccard_join"] = ngram_jaccard.oracle()
+query("op2_substring_dedup", substring_dedup.repeated_spans, substring_dedup.oracle())
+query("op5_best_fit_packing", packing.packed)
+query("op6_mixing", mixing.mixed)
+query("op7_ngram_jaccard_join", ngram_jaccard.jaccard_join, ngram_jaccard.oracle())
+query("op8_exact_dedup", exact_dedup.copies, exact_dedup.ORACLE)
+query("op9_quality_rules", robust_rules.judged)
