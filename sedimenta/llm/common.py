@@ -118,17 +118,34 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
-def to48(h: np.ndarray) -> np.ndarray:
-    """The low 48 bits of 64-bit values as bytes, 6 to a value."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+def low(h: np.ndarray, n: int) -> np.ndarray:
+    """The low ``n`` bytes of 64-bit values, one after the other."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :n].ravel()
 
 
-def from48(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = b.reshape(-1, 6)
+def whole(b: np.ndarray, n: int) -> np.ndarray:
+    """64-bit values from their low ``n`` bytes."""
+    out = np.zeros((len(b) // n, 8), np.uint8)
+    out[:, :n] = b.reshape(-1, n)
     return out.view(np.uint64).ravel()
 
 
+def encode(gaps: np.ndarray, wide: bool = False) -> np.ndarray:
+    """Gaps as bytes (or 16-bit words); the largest value means: add it and read on."""
+    kind = np.uint16 if wide else np.uint8
+    top = np.iinfo(kind).max
+    ends = np.cumsum(gaps // top + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, top, kind)
+    out[ends - 1] = gaps % top
+    return out
+
+
+def decode(codes: np.ndarray) -> np.ndarray:
+    top = np.iinfo(codes.dtype).max
+    sums = np.cumsum(codes.astype(np.int64))[codes != top]
+    return np.diff(sums, prepend=0)
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ``starts[i] .. starts[i] + counts[i] - 1``."""
     counts = counts.astype(np.int64)

@@ -120,21 +120,8 @@ def _flight(seed: int, level: str):
     return run
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """A balanced sample of documents: ``doc_id, source, n_tokens, inclusion_probability``.
-
-    ``keep`` is the share of all tokens that the sample has.  ``weights`` are the
-    target weights by source (none for a source that isn't named); by default the
-    tokens of a source to the power ``alpha``, so that large sources count for less.
-    A source never gives more than it has; the rest goes to the others.  The sample's
-    number of documents and of tokens differ from the expected ones, in each source,
-    by what the last two documents make, and so they do over all sources.
-
-    Rows that share an id are one document, in the first of their sources, its tokens
-    their sum.  Rows without id aren't drawn.  A null source is a source of its own.
-    Documents without tokens (null or empty text) are drawn with the probability of
-    their source.  An empty table gives an empty result.
-    """
+def _drawn(docs: DataFrame, weights: dict[str | None, float] | None, keep: float, alpha: float, seed: int, id_col: str, source_col: str, text_col: str, tokens: Column | None) -> DataFrame:
+    """(id, source, n_tokens, first_pi, drawn) of every document."""
     if not 0 <= keep <= 1:
         raise ValueError("keep must be between 0 and 1")
     ship(docs.sparkSession)
@@ -155,5 +142,32 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep:
     part = "pi > 0 AND pi < 1"
     level1 = written(level0.where(part).withColumn("block", F.lit(-1)).groupBy("source", "block").applyInArrow(_flight(seed, "source"), schema), "flight")
     level2 = level1.where(part).withColumn("block", F.lit(-2)).groupBy("block").applyInArrow(_flight(seed, "all"), schema)
-    chosen = level0.where("pi = 1").unionByName(level1.where("pi = 1")).unionByName(level2.where("pi = 1"))
-    return chosen.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.col("first_pi").alias("inclusion_probability"))
+    done = level0.where(f"NOT ({part})").unionByName(level1.where(f"NOT ({part})")).unionByName(level2)
+    return done.select("id", "source", "n_tokens", "first_pi", (F.col("pi") == 1).alias("drawn"))
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """A balanced sample of documents: ``doc_id, source, n_tokens, inclusion_probability``.
+
+    ``keep`` is the share of all tokens that the sample has.  ``weights`` are the
+    target weights by source (none for a source that isn't named); by default the
+    tokens of a source to the power ``alpha``, so that large sources count for less.
+    A source never gives more than it has; the rest goes to the others.  The sample's
+    number of documents and of tokens differ from the expected ones, in each source,
+    by what the last two documents make, and so they do over all sources.
+
+    Rows that share an id are one document, in the first of their sources, its tokens
+    their sum.  Rows without id aren't drawn.  A null source is a source of its own.
+    Documents without tokens (null or empty text) are drawn with the probability of
+    their source.  An empty table gives an empty result.
+    """
+    found = _drawn(docs, weights, keep, alpha, seed, id_col, source_col, text_col, tokens).where("drawn")
+    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.col("first_pi").alias("inclusion_probability"))
+
+
+def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mixed`` draws, their columns as they are; all rows of an id go together."""
+    out = _drawn(docs, weights, keep, alpha, seed, id_col, source_col, text_col, tokens).where("NOT drawn")
+    out = written(out.select(F.col("id").alias("__i")), "not-drawn")
+    key = F.col(id_col).cast("long")
+    return docs.where(key.isNotNull()).join(small(out), key == F.col("__i"), "left_anti")

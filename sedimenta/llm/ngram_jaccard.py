@@ -18,21 +18,20 @@ What keeps this far from quadratic, all of it exact:
   overlap that the threshold asks for.
 
 Nothing is capped.  Between stages the n-grams travel as packed arrays by
-(batch, shard), 6 bytes each, not as rows.  Two n-grams count as one if they
-fall into one shard and agree in 48 further bits of their hash.
+(batch, shard), 5 bytes each, not as rows.  Two n-grams count as one if they
+fall into one shard and agree in 40 further bits of their hash.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import by_shard, from48, pack, pick, ranges, shards_for, to48, unpack, written
+from .common import by_shard, decode, encode, low, pack, pick, ranges, shards_for, small, unpack, whole, written
 
 N = 3
 THRESHOLD = 0.5
@@ -73,7 +72,12 @@ def _members(n: int):
 
 
 def _scatter(n: int, shards: int):
-    """(id, text) to packed segments by shard: signatures, sizes, counts, 48-bit grams."""
+    """(id, text) of representatives to packed rows (shard, batch, payload).
+
+    A batch is named by the signature of its first entity.  Its grams go to their
+    shards with the entities' places in the batch; its directory (signatures and
+    sizes) goes past the shards, under a negative shard, to the batch's home.
+    """
 
     def run(batches):
         for batch in batches:
@@ -83,7 +87,7 @@ def _scatter(n: int, shards: int):
             for lo, hi in K.pieces(offsets):
                 o = offsets[lo : hi + 1]
                 g, firsts, sig, size = _sets(data[o[0] : o[-1]], o - o[0], n)
-                parts.append((g, sig, size))
+                parts.append((g, sig[size > 0], size[size > 0]))
                 held += len(g)
                 if held > 4_000_000:
                     yield _by_shard(parts, shards)
@@ -94,30 +98,24 @@ def _scatter(n: int, shards: int):
     return run
 
 
+def _rows(key: str, keys: list[int], batches: list[int], payloads: list[bytes]) -> pa.Table:
+    return pa.table({key: pa.array(keys, pa.int32()), "batch": pa.array(batches, pa.int64()), "payload": pa.array(payloads, pa.binary())})
+
+
 def _by_shard(parts: list[tuple], shards: int) -> pa.RecordBatch:
     g, sig, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    _, first = np.unique(sig, return_index=True)
-    keep = np.zeros(len(sig), dtype=bool)
-    keep[first] = True
+    name = int(sig[:1].view(np.int64)[0])
     doc = np.repeat(np.arange(len(size)), size)
-    if not keep.all():
-        kept = keep[doc]
-        g, doc = g[kept], doc[kept]
     shard = (g >> np.uint64(48)) % np.uint64(shards)
     order = np.argsort(shard.astype(np.uint16), kind="stable")
     g, doc, shard = g[order], doc[order], shard[order].astype(np.int64)
     edges = np.searchsorted(shard, np.arange(shards + 1))
-    out_s, out_p = [], []
-    for s in range(shards):
+    out_s, out_p = [-1 - (name >> 8) % shards], [pack(sig, size.astype(np.uint32))]
+    for s in np.flatnonzero(np.diff(edges)):
         a, b = edges[s], edges[s + 1]
-        if a == b:
-            continue
-        d = doc[a:b]
-        new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        who = d[new]
-        out_s.append(s)
-        out_p.append(pack(sig[who], size[who].astype(np.uint32), np.diff(np.r_[new, b - a]).astype(np.uint32), to48(g[a:b])))
-    return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_p, pa.binary())], ["shard", "payload"])
+        out_s.append(int(s))
+        out_p.append(pack(encode(np.diff(doc[a:b], prepend=0)), low(g[a:b], 5)))
+    return _rows("shard", out_s, [name] * len(out_s), out_p).to_batches()[0]
 
 
 def _segments(table: pa.Table, columns: int) -> list[np.ndarray]:
@@ -126,66 +124,60 @@ def _segments(table: pa.Table, columns: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(columns)]
 
 
-def _frequencies(homes: int):
-    """In a shard: document frequency of each gram; those of two entities or more go home, to their entity."""
-
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        sig, size, count, g = _segments(table, 4)
-        g = from48(g)
-        _, first = np.unique(sig, return_index=True)  # the segment of an entity is the same in every batch
-        starts = np.cumsum(count.astype(np.int64)) - count
-        sig, size, count, starts = sig[first], size[first], count[first], starts[first]
-        doc = np.repeat(np.arange(len(sig)), count)
-        g = g[ranges(starts, count)]
-        order = np.argsort(g, kind="stable")
-        s = g[order]
-        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        df = np.diff(np.r_[edge, len(s)])
-        freq = np.empty(len(g), np.uint32)
-        freq[order] = np.repeat(df, df)
-        keep = freq > 1
-        g, doc, level = g[keep], doc[keep], np.log2(freq[keep]).astype(np.uint8)
-        home = (sig[doc] >> np.uint64(20)) % np.uint64(homes)
-        order = np.argsort(home, kind="stable")
-        g, doc, level, home = g[order], doc[order], level[order], home[order]
-        edges = np.searchsorted(home, np.arange(homes + 1).astype(np.uint64))
-        out_h, out_p = [], []
-        for h in np.flatnonzero(np.diff(edges)):
-            a, b = edges[h], edges[h + 1]
-            d = doc[a:b]
-            new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            who = d[new]
-            out_h.append(int(h))
-            out_p.append(pack(sig[who], size[who], np.diff(np.r_[new, b - a]).astype(np.uint32), to48(g[a:b]), level[a:b]))
-        return pa.table({"home": pa.array(out_h, pa.int32()), "of": pa.array([shard] * len(out_h), pa.int32()), "payload": pa.array(out_p, pa.binary())})
-
-    return run
+def _frequencies(table: pa.Table) -> pa.Table:
+    """In a shard: document frequency of each gram; those of two entities or more go home, to their batch."""
+    shard = table.column("shard")[0].as_py()
+    batches = table.column("batch").to_pylist()
+    if shard < 0:
+        return _rows("of", [-1] * len(batches), batches, [v.as_py() for v in table.column("payload")])
+    parts = [unpack(v.as_buffer()) for v in table.column("payload")]
+    doc = [np.cumsum(decode(p[0])) for p in parts]
+    g = whole(np.concatenate([p[1] for p in parts]), 5)
+    order = np.argsort(g, kind="stable")
+    s = g[order]
+    edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    df = np.diff(np.r_[edge, len(s)])
+    freq = np.empty(len(g), np.uint32)
+    freq[order] = np.repeat(df, df)
+    level = np.log2(freq).astype(np.uint8)
+    out_b, out_p, at = [], [], 0
+    for name, d in zip(batches, doc):
+        own = slice(at, at + len(d))
+        at += len(d)
+        keep = level[own] > 0
+        if keep.any():
+            out_b.append(name)
+            out_p.append(pack(encode(np.diff(d[keep], prepend=0)), low(g[own][keep], 5), level[own][keep]))
+    return _rows("of", [shard] * len(out_b), out_b, out_p)
 
 
 def _cut(threshold: float, parts: int):
     """At home: entities that may have a partner, their grams put in the global order and cut into fragments."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts_ = [(of, unpack(p.as_buffer())) for of, p in zip(table.column("of").to_pylist(), table.column("payload"))]
-        sig = np.concatenate([np.repeat(p[0], p[2]) for _, p in parts_])
-        size = np.concatenate([np.repeat(p[1], p[2]) for _, p in parts_]).astype(np.int64)
-        g = np.concatenate([from48(p[3]) | np.uint64(of << 48) for of, p in parts_])
-        level = np.concatenate([p[4] for _, p in parts_])
-        ids, doc = np.unique(sig, return_inverse=True)
+        docs, grams, levels, ids = [], [], [], None
+        for of, p in zip(table.column("of").to_pylist(), table.column("payload")):
+            p = unpack(p.as_buffer())
+            if of < 0:
+                ids, full = p[0], p[1].astype(np.int64)
+            else:
+                docs.append(np.cumsum(decode(p[0])))
+                grams.append(whole(p[1], 5) | np.uint64(of << 40))
+                levels.append(p[2])
+        if not docs:
+            return pa.table({"frag": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        doc, g, level = np.concatenate(docs), np.concatenate(grams), np.concatenate(levels)
         m = np.bincount(doc, minlength=len(ids))
-        full = np.zeros(len(ids), np.int64)
-        full[doc] = size
         keep = (m >= _ceil(threshold * full))[doc]
         g, level, doc = g[keep], level[keep], doc[keep]
-        order = np.lexsort((g, level, doc))
+        order = np.lexsort((K.mix(g), level, doc))
         g, level, doc = g[order], level[order], doc[order]
         firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
         rank = np.arange(len(g)) - firsts[doc]
         rest = m[doc] - rank  # grams from here on that others have too
         ahead = full[doc] - rest  # of the whole set, grams of one entity only come first in the order
         prefix = ahead < full[doc] - _ceil(threshold * full[doc]) + 1
-        frag = level.astype(np.int64) * parts + ((K.mix(g) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        frag = (level.astype(np.int64) // 2) * parts + ((K.mix(g) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((g, doc, frag))
         out_f, out_p = [], []
         f_sorted = frag[order]
@@ -292,15 +284,20 @@ def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     base = pick(docs, id_col, text_col)
     shards = shards_for(docs)
     members = written(base.mapInArrow(_members(n), "id long, sig long, size long"), "sets").distinct()
-    packed = base.mapInArrow(_scatter(n, shards), "shard int, payload binary")
-    home = by_shard(packed, _frequencies(shards), "home int, of int, payload binary")
-    cut = written(by_shard(home, _cut(threshold, fragment_ranges), "frag int, payload binary", "home"), "segments")
+    # copies of a set other than the smallest id don't take part; an id of several sets stays
+    first = F.min("id").over(W.partitionBy("sig"))
+    spare = members.withColumn("spare", (F.col("id") > first).cast("int")).groupBy("id").agg(F.min("spare").alias("spare")).where("spare = 1").select(F.col("id").alias("__i"))
+    reps = base.join(small(written(spare, "spare")), F.col("id") == F.col("__i"), "left_anti")
+    packed = reps.mapInArrow(_scatter(n, shards), "shard int, batch long, payload binary")
+    home = by_shard(packed, _frequencies, "of int, batch long, payload binary")
+    parts = max(fragment_ranges, shards // 64)
+    cut = written(by_shard(home, _cut(threshold, parts), "frag int, payload binary", "batch"), "segments")
     candidates = by_shard(cut, _candidates(threshold), "a long, b long", "frag").distinct()
-    sizes = members.groupBy("sig").agg(F.first("size").alias("size"))
     frags = cut.select(F.col("frag").alias("in_frag")).distinct()
-    spread = candidates.crossJoin(F.broadcast(frags))  # a few dozen rows: binary logarithms times ranges
+    spread = candidates.crossJoin(F.broadcast(frags))  # at most 16 halves of binary logarithms times the ranges
     parts = spread.groupBy("in_frag").cogroup(cut.groupBy("frag")).applyInArrow(_overlaps, "a long, b long, part int")
     pairs = parts.groupBy("a", "b").agg(F.sum("part").cast("long").alias("common"))
+    sizes = members.groupBy("sig").agg(F.first("size").alias("size"))
     sa, sb = sizes.select(F.col("sig").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("sig").alias("b"), F.col("size").alias("size_b"))
     pairs = pairs.join(sa, "a").join(sb, "b")
     pairs = pairs.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - _SLACK)
@@ -331,6 +328,44 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", F.round("jaccard", 6).alias("jaccard")).groupBy("doc_a", "doc_b").agg(F.max("common").alias("common"), F.max("jaccard").alias("jaccard"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the connected components of ``edges(u, v)``: the smallest node is the root.
+
+    Alternating large and small stars; every round is written, so lineage stays short.
+    """
+    both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now, seen = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
+    while True:
+        near = both(now).groupBy("u").agg(F.min("v").alias("m"))
+        stars = both(now).join(near, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = stars.distinct()
+        low_ = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(low_, "u")
+        new = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v")
+        now = written(new.distinct(), "edges")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = state
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, of the smallest id, of each group of near duplicates; columns as they are.
+
+    A group is a connected component of the pairs of ``jaccard_join``.  Documents
+    without a pair stay, so do rows without id, without text or words.  Rows that share
+    an id stay or go together: they go if each of their texts has a group of a smaller id.
+    """
+    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col)
+    reps = members.groupBy("sig").agg(F.min("id").alias("rep"))
+    a, b = reps.select(F.col("sig").alias("a"), F.col("rep").alias("u")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("v"))
+    roots = components(pairs.join(a, "a").join(b, "b").select("u", "v"))
+    of = members.join(reps, "sig").join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("root"))
+    gone = of.groupBy("id").agg(F.max("root").alias("root")).where("root < id").select(F.col("id").alias("__i"))
+    key = F.col(id_col).cast("long")
+    return docs.join(small(written(gone, "near-duplicates")), key == F.col("__i"), "left_anti")
+
+
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
     """The same result in DuckDB's SQL, by a plain self-join of the n-gram sets."""
     return f"""

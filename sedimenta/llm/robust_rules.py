@@ -46,7 +46,7 @@ COUNTS = ("n_bytes", "n_words", "word_bytes", "n_punct", "n_digit", "n_upper", "
 D = len(RATES)
 TRUSTED = 0.75
 FLOOR = 0.05
-TAIL = 1e-6
+TAIL = 1e-8
 MIN_GROUP = 200
 STEPS = 12
 
@@ -133,7 +133,7 @@ PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
 def _vectors(stats: DataFrame, min_group: int) -> DataFrame:
-    """(id, tag, lang, source, unit, x0..): transformed statistics, and the group that judges the document."""
+    """(id, tag, lang, source, n_words, unit, n_unit, x0..): transformed statistics, and the group that judges the document."""
     with_words = stats.where("n_words > 0")
     by_source = with_words.groupBy("lang", "source").agg(F.count("*").alias("n_source"))
     pooled = by_source.where(F.col("n_source") < min_group).groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
@@ -150,7 +150,7 @@ def _vectors(stats: DataFrame, min_group: int) -> DataFrame:
         prior = F.col(f"t_{a}") / F.greatest(F.col(f"t_{b}"), F.lit(1.0))
         rate = (F.col(a) + pseudo * prior) / (F.col(b) + pseudo)
         xs.append((F.log(F.greatest(rate, F.lit(1e-6))) if k == 0 else 2 * F.asin(F.sqrt(F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0))))).alias(X[k]))
-    return df.select("id", "tag", "lang", "source", "unit", "n_unit", *xs)
+    return df.select("id", "tag", "lang", "source", "n_words", "unit", "n_unit", *xs)
 
 
 def _invert(floor: float):
@@ -180,50 +180,27 @@ def _moments(df: DataFrame) -> DataFrame:
     return df.groupBy("unit").agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS))
 
 
-def _distance(df: DataFrame, est: DataFrame) -> DataFrame:
+def _distance(df: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` with the squared distance ``d2`` from its unit's centre; null without an estimate."""
     d2: Column = F.lit(0.0)
     for i, j in PAIRS:
         d2 = d2 + F.col(f"p{i}_{j}") * (F.col(X[i]) - F.col(f"m{i}")) * (F.col(X[j]) - F.col(f"m{j}"))
-    return df.join(small(est), F.col("unit") == F.col("u2")).withColumn("d2", d2).select(*df.columns, "d2")
+    return df.join(small(est), F.col("unit") == F.col("u2"), how).select(*df.columns, d2.alias("d2"))
 
 
-def estimates(vectors: DataFrame, trusted: float = TRUSTED, floor: float = FLOOR, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant centre and inverse scatter by ``unit``."""
-    mid = vectors.groupBy("unit").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(X)))
-    mid = written(mid.withColumnRenamed("unit", "u3"), "medians")
-    apart = vectors.join(small(mid), F.col("unit") == F.col("u3"))
-    mad = apart.groupBy("unit").agg(F.count("*").cast("double").alias("n"), F.lit(1.0).alias("scale"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(D)), *(F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"c{i}")), 0.5, 10000).alias(f"a{i}") for i in range(D)))
-    start = mad.select("unit", F.lit(1.0).alias("n"), "scale", *(F.col(f"c{i}").alias(f"s{i}") for i in range(D)), *((F.col(f"c{i}") * F.col(f"c{j}") + (F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0))).alias(f"q{i}_{j}") for i, j in PAIRS))
-    est = written(start.mapInPandas(_invert(floor), _EST), "estimate")
-    inner, half = chi2(0.025, D), chi2(0.5, D)
-    for step in range(steps + 1):
-        far = _distance(vectors, est)
-        cut = written(far.groupBy("unit").agg(F.percentile_approx("d2", trusted, 10000).alias("q"), F.percentile_approx("d2", 0.5, 10000).alias("mid")).withColumnRenamed("unit", "u3"), "quantiles")
-        last = step == steps
-        # the last step reweights: all within the 97.5% ellipsoid of the scatter made consistent at its median
-        near = far.join(small(cut), F.col("unit") == F.col("u3")).where(F.col("d2") <= (F.col("mid") / half * inner if last else F.col("q")))
-        scale = 1.0 / _shrink(0.975) if last else 1.0 / _shrink(trusted)
-        new = written(_moments(near).withColumn("scale", F.lit(scale)).mapInPandas(_invert(floor), _EST), "estimate")
-        if last:
-            return new
-        moved = new.join(small(est.select(F.col("u2").alias("u4"), F.col("logdet").alias("before"))), F.col("u2") == F.col("u4")).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
-        est = new
-        if moved is None or moved < 1e-3:
-            steps = step + 1
-            if step + 1 < STEPS + 1:
-                return _reweighted(vectors, est, floor)
-    return est
+def _quantiles(far: DataFrame, trusted: float) -> DataFrame:
+    q = far.groupBy("unit").agg(F.percentile_approx("d2", F.array(F.lit(trusted), F.lit(0.5)), 10000).alias("q"))
+    return written(q.select(F.col("unit").alias("u3"), F.col("q")[0].alias("at_trusted"), F.col("q")[1].alias("at_half")), "quantiles")
 
 
-def _reweighted(vectors: DataFrame, est: DataFrame, floor: float) -> DataFrame:
-    far = _distance(vectors, est)
-    cut = written(far.groupBy("unit").agg(F.percentile_approx("d2", 0.5, 10000).alias("mid")).withColumnRenamed("unit", "u3"), "quantiles")
-    near = far.join(small(cut), F.col("unit") == F.col("u3")).where(F.col("d2") <= F.greatest(F.col("mid") / chi2(0.5, D), F.lit(1.0)) * chi2(0.025, D))
-    return written(_moments(near).withColumn("scale", F.lit(1.0 / _shrink(0.975))).mapInPandas(_invert(floor), _EST), "estimate")
+def _fit(near: DataFrame, share: float, floor: float) -> DataFrame:
+    """Centre and scatter of the rows given, the central ``share`` of their units."""
+    moments = _moments(near).withColumn("scale", F.lit(1.0 / central_variance(share)))
+    return written(moments.mapInPandas(_invert(floor), _EST), "estimate")
 
 
-def _shrink(share: float) -> float:
-    """Variance along an axis of the central ``share`` of a Gaussian in D dimensions (1 for all of it)."""
+def central_variance(share: float) -> float:
+    """Variance along an axis of the central ``share`` of a standard Gaussian in ``D`` dimensions."""
     q = chi2(1 - share, D)
     term = total = math.exp(-q / 2)
     for k in range(1, D // 2 + 1):
@@ -232,6 +209,39 @@ def _shrink(share: float) -> float:
     return (1 - total) / share
 
 
+def estimates(vectors: DataFrame, trusted: float = TRUSTED, floor: float = FLOOR, steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant centre and inverse scatter by ``unit``, reweighted."""
+    mid = written(vectors.groupBy(F.col("unit").alias("u3")).agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(X))), "medians")
+    apart = vectors.join(small(mid), F.col("unit") == F.col("u3"))
+    apart = apart.groupBy("unit").agg(*(F.first(f"c{i}").alias(f"s{i}") for i in range(D)), *(F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"c{i}")), 0.5, 10000).alias(f"a{i}") for i in range(D)))
+    start = apart.select("unit", F.lit(1.0).alias("n"), F.lit(1.0).alias("scale"), *(f"s{i}" for i in range(D)), *((F.col(f"s{i}") * F.col(f"s{j}") + (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else F.lit(0.0))).alias(f"q{i}_{j}") for i, j in PAIRS))
+    est = written(start.mapInPandas(_invert(floor), _EST), "estimate")
+    for _ in range(steps):
+        far = _distance(vectors, est)
+        near = far.join(small(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where("d2 <= at_trusted")
+        new = _fit(near, trusted, floor)
+        before = est.select(F.col("u2").alias("u4"), F.col("logdet").alias("before"))
+        moved = new.join(small(before), F.col("u2") == F.col("u4")).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        est = new
+        if moved is None or moved < 1e-3:
+            break
+    far = _distance(vectors, est)
+    consistent = F.greatest(F.col("at_half") / chi2(0.5, D), F.lit(1.0)) * chi2(0.025, D)
+    return _fit(far.join(small(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where(F.col("d2") <= consistent), 0.975, floor)
+
+
+def _judged(docs: DataFrame, tail: float, min_group: int, trusted: float, floor: float, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    stats = written(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
+    vectors = written(_vectors(stats, min_group), "vectors")
+    est = estimates(vectors.where(F.col("n_unit") >= min_group), trusted, floor)
+    far = _distance(vectors, est, "left").withColumn("distance", F.sqrt(F.greatest("d2", F.lit(0.0))))
+    limit = math.sqrt(chi2(tail, D))
+    columns = ["id", "tag", "lang", "source", "n_words", "distance", "keep"]
+    found = far.withColumn("distance", F.when(F.col("d2").isNotNull(), F.col("distance"))).withColumn("keep", F.coalesce(F.col("distance") <= limit, F.lit(True)))
+    empty = stats.where("n_words = 0").withColumn("distance", F.lit(None).cast("double")).withColumn("keep", F.lit(False))
+    return found.select(*columns).unionByName(empty.select(*columns))
+
+
 def judged(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP, trusted: float = TRUSTED, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Every row, judged: ``doc_id, lang, source, n_words, distance, keep``.
 
@@ -239,33 +249,22 @@ def judged(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP, trus
     language and source; rows beyond the quantile of the chi-squared distribution
     that leaves ``tail`` are rejected.  Groups of fewer than ``min_group`` documents
     are pooled by language, these again over all; where even that is smaller, nothing
-    is an outlier.  Null languages and sources are groups of their own.  Documents
-    without words (null, empty, white space) have no statistics: distance null,
-    rejected.  Rows without id are judged like others.  Very long texts count whole.
-    An empty table gives an empty result.
+    is an outlier (distance null).  Null languages and sources are groups of their
+    own.  Documents without words (null, empty, white space) have no statistics:
+    distance null, rejected.  Rows without id, and equal rows, are judged like
+    others.  Very long texts count whole.  An empty table gives an empty result.
     """
-    return _judged(docs, tail, min_group, trusted, floor, id_col, text_col, lang_col, source_col).select(F.col("id").alias("doc_id"), "lang", "source", "n_words", F.round("distance", 3).alias("distance"), "keep")
+    found = _judged(docs, tail, min_group, trusted, floor, id_col, text_col, lang_col, source_col)
+    return found.select(F.col("id").alias("doc_id"), "lang", "source", "n_words", F.round("distance", 3).alias("distance"), "keep")
 
 
-def _judged(docs, tail, min_group, trusted, floor, id_col, text_col, lang_col, source_col) -> DataFrame:
-    stats = written(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
-    vectors = written(_vectors(stats, min_group), "vectors")
-    usable = vectors.where(F.col("n_unit") >= min_group)
-    est = estimates(usable, trusted, floor)
-    far = _distance(usable.drop("n_unit"), est).select("id", "tag", F.sqrt(F.greatest("d2", F.lit(0.0))).alias("distance"), F.col("unit"))
-    worst = far.groupBy(F.col("id").alias("i2"), F.col("tag").alias("t2"), F.col("unit").alias("u2")).agg(F.max("distance").alias("distance"))
-    named = vectors.select(F.col("id").alias("i3"), F.col("tag").alias("t3"), F.col("lang").alias("l3"), F.col("source").alias("s3"), "unit")
-    limit = math.sqrt(chi2(tail, D))
-    vec = vectors.select("id", "tag", "lang", "source", "unit", *X)
-    near = _distance_left(vec, est)
-    words = stats.where("n_words = 0").select("id", "tag", "lang", "source", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("keep"))
-    del worst, named
-    return near.select("id", "tag", "lang", "source", "distance", (F.coalesce("distance", F.lit(0.0)) <= limit).alias("keep")).unionByName(words)
-
+def kept(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP, trusted: float = TRUSTED, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` without the rows that ``judged`` rejects, their columns as they are.
 
-def _distance_left(df: DataFrame, est: DataFrame) -> DataFrame:
-    """As ``_distance``; null where the group has no estimate."""
-    d2: Column = F.lit(0.0)
-    for i, j in PAIRS:
-        d2 = d2 + F.col(f"p{i}_{j}") * (F.col(X[i]) - F.col(f"m{i}")) * (F.col(X[j]) - F.col(f"m{j}"))
-    return df.join(small(est), F.col("unit") == F.col("u2"), "left").withColumn("distance", F.sqrt(F.greatest(d2, F.lit(0.0))) + F.lit(0.0)).select(*df.columns, "distance")
+    A row goes if it is rejected under its language and source; rows without id stay.
+    """
+    bad = _judged(docs, tail, min_group, trusted, floor, id_col, text_col, lang_col, source_col).where("NOT keep AND id IS NOT NULL")
+    bad = written(bad.select(F.col("id").alias("__i"), F.col("tag").alias("__t"), F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct(), "rejected")
+    text = F.col(text_col).cast("string")
+    match = (F.col(id_col).cast("long") == F.col("__i")) & (F.xxhash64(text) == F.col("__t")) & F.col(lang_col).cast("string").eqNullSafe(F.col("__l")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s"))
+    return docs.join(small(bad), match, "left_anti")

@@ -23,39 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import by_shard, pack, pick, ranges, shards_for, unpack
+from .common import by_shard, decode, encode, low, pack, pick, shards_for, unpack, whole
 
 MIN_WORDS = 50
 SHARD_BYTES = 12 << 20
 
 
-def _encode(gaps: np.ndarray, wide: bool) -> np.ndarray:
-    """Gaps as bytes (or 16-bit words); the largest value means: add it and read on."""
-    kind = np.uint16 if wide else np.uint8
-    top = np.iinfo(kind).max
-    more = gaps // top
-    ends = np.cumsum(more + 1)
-    out = np.full(int(ends[-1]) if len(ends) else 0, top, kind)
-    out[ends - 1] = gaps % top
-    return out
-
-
-def _decode(codes: np.ndarray) -> np.ndarray:
-    top = np.iinfo(codes.dtype).max
-    sums = np.cumsum(codes.astype(np.int64))[codes != top]
-    return np.diff(sums, prepend=0)
-
-
-def _low(h: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :n].ravel()
-
-
-def _whole(b: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(b) // n, 8), np.uint8)
-    out[:, :n] = b.reshape(-1, n)
-    return out.view(np.uint64).ravel()
-
-
 def _group(shard: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, tags: np.ndarray, shards: int, columns: list[np.ndarray], widths: list[int]) -> tuple[list[int], list[bytes]]:
     """Packs rows (ordered by document, then position) by shard: ids, tags, counts, position gaps, columns."""
     order = np.argsort(shard.astype(np.uint16), kind="stable")
@@ -71,7 +44,7 @@ def _group(shard: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray,
         gaps[new] = at[a:b][new]
         who = d[new]
         out_s.append(int(s))
-        out_p.append(pack(ids[who], tags[who], np.diff(np.r_[new, b - a]).astype(np.uint32), _encode(gaps, shards > 128), *(_low(c[a:b], w) if w else c[a:b] for c, w in zip(columns, widths))))
+        out_p.append(pack(ids[who], tags[who], np.diff(np.r_[new, b - a]).astype(np.uint32), encode(gaps, shards > 128), *(low(c[a:b], w) if w else c[a:b] for c, w in zip(columns, widths))))
     return out_s, out_p
 
 
@@ -81,7 +54,7 @@ def _ungroup(payloads, widths: list[int]):
     for v in payloads:
         i, t, n, gaps, *cols = unpack(v.as_buffer())
         n = n.astype(np.int64)
-        gaps = _decode(gaps)
+        gaps = decode(gaps)
         sums = np.cumsum(gaps)
         first = np.cumsum(n) - n
         base = sums[first] - gaps[first]
@@ -89,7 +62,7 @@ def _ungroup(payloads, widths: list[int]):
         ids.append(np.repeat(i, n))
         tags.append(np.repeat(t, n))
         for k, w in enumerate(widths):
-            columns[k].append(_whole(cols[k], w) if w else cols[k])
+            columns[k].append(whole(cols[k], w) if w else cols[k])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return cat(ids), cat(tags), cat(ats), [cat(c) for c in columns]
 
