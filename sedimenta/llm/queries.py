@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_jaccard, packing, robust_rules, substring_dedup
+from . import brown_lm, exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, robust_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,8 @@ def query(name: str, operator: Callable[[DataFrame], DataFrame], oracle: str | N
 
 
 query("op2_substring_dedup", substring_dedup.repeated_spans, substring_dedup.oracle())
+query("op3_lm_scoring", brown_lm.perplexities)
+QUERIES["op4_quality_classifier"] = lambda spark, sf_dir: quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 query("op5_best_fit_packing", packing.packed)
 query("op6_mixing", mixing.mixed)
 query("op7_ngram_jaccard_join", ngram_jaccard.jaccard_join, ngram_jaccard.oracle())
