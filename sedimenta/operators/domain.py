@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
 from ..ship import ship
@@ -18,7 +19,7 @@ LABELS = {0: "computing and general works", 100: "philosophy and psychology", 20
 STEM = (0, 500, 600)
 
 
-@F.pandas_udf("struct<errors:long, nodes:long>")
+@F.pandas_udf(types.StructType([types.StructField("errors", types.LongType()), types.StructField("nodes", types.LongType())]))
 def _parsed(code: pd.Series) -> pd.DataFrame:
     out = []
     for c in code:

@@ -1,6 +1,6 @@
 """Cost of tokenization: tokens by text, code and formula spans."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ def hf_tokens(path: str):
     """Token counts by a ``tokenizers`` file that every worker can read."""
 
     @F.pandas_udf("long")
-    def count(parts):
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -42,9 +42,6 @@ def hf_tokens(path: str):
         for s in parts:
             yield pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
 
-    from collections.abc import Iterator
-
-    count.func.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return count
 
 
