@@ -31,7 +31,7 @@ MIN_SHARE = 2e-6
 ITERATIONS = 6
 BLEND = 0.95
 #: Vocabulary words by shard of the exchange.
-SHARD_WORDS = 2048
+SHARD_WORDS = 512
 
 
 def _tally(shards: int):
@@ -44,7 +44,7 @@ def _tally(shards: int):
             for lo, hi in K.pieces(offsets):
                 o = offsets[lo : hi + 1]
                 parts.append(K.words(data[o[0] : o[-1]], o - o[0])[0])
-                if sum(map(len, parts)) > 4_000_000:
+                if sum(map(len, parts)) > 1_000_000:
                     yield _counted(parts, shards)
                     parts = []
             if any(map(len, parts)):
@@ -140,7 +140,7 @@ def _bigrams(vocab: Vocabulary, shards: int):
                 o = offsets[lo : hi + 1]
                 left, right = chain(vocab, data[o[0] : o[-1]], o - o[0])[:2]
                 parts.append(left * wide + right)
-                if sum(map(len, parts)) > 4_000_000:
+                if sum(map(len, parts)) > 1_000_000:
                     yield emit(parts)
                     parts = []
             if any(map(len, parts)):

@@ -89,7 +89,7 @@ def _scatter(n: int, shards: int):
                 g, firsts, sig, size = _sets(data[o[0] : o[-1]], o - o[0], n)
                 parts.append((g, sig[size > 0], size[size > 0]))
                 held += len(g)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield _by_shard(parts, shards)
                     parts, held = [], 0
             if held:

@@ -101,7 +101,7 @@ def _probe(block: int, shards: int):
                 base = sum(len(p[3]) for p in held)
                 held.append((w, doc + base, at - firsts[doc], ids[lo:hi], tag))
                 size += len(w)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield flush()
                     size = 0
             if held:
