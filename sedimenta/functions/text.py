@@ -10,6 +10,11 @@ EDGES = r"^\s+|\s+$"
 CJK = r"^(zh|cmn|yue|wuu|nan|ja|jpn|ko|kor)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
@@ -41,22 +46,33 @@ def upto(n: Column) -> Column:
 
 def shingles(ws: Column, n: int, whole: Column | None = None) -> Column:
     """Word n-grams; fewer than ``n`` words are one shingle (``whole``, by default the words joined)."""
-    few = F.array_join(ws, " ") if whole is None else whole
-    grams = F.transform(upto(F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    return F.when(F.size(ws) < n, F.array(few)).otherwise(grams)
+
+    def of(w: Column) -> Column:
+        few = F.array_join(w, " ") if whole is None else whole
+        grams = F.transform(upto(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) < n, F.array(few)).otherwise(grams)
+
+    return let(ws, of)
 
 
 def char_ngrams(c: Column, n: int) -> Column:
     """Character n-grams of the stripped text; a shorter one is one gram."""
-    t = strip(c)
-    return F.when(F.length(t) <= n, F.array(t)).otherwise(F.transform(upto(F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+
+    def of(chars: Column) -> Column:
+        grams = F.transform(upto(F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        return F.when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(grams)
+
+    return let(F.filter(F.split(strip(c), ""), lambda x: x != ""), of)
 
 
 def windows(c: Column, size: int, stride: int) -> Column:
     """Character windows of the stripped text: one every ``stride``, until one reaches the end."""
-    t = strip(c)
-    last = F.ceil(F.greatest(F.length(t) - size, F.lit(0)) / stride).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(t, k * stride + 1, F.lit(size)))
+
+    def of(t: Column) -> Column:
+        last = F.ceil(F.greatest(F.length(t) - size, F.lit(0)) / stride).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(t, k * stride + 1, F.lit(size)))
+
+    return let(strip(c), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -103,7 +119,9 @@ def parsed_timestamp(c: Column) -> Column:
 
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits of the characters of a string."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.size(chars)
-    terms = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.aggregate(terms, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    def of(chars: Column) -> Column:
+        terms = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars))
+        return F.aggregate(terms, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return let(F.filter(F.split(c, ""), lambda x: x != ""), of)

@@ -143,7 +143,8 @@ def langid(docs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     Ties go to the language first in the alphabet; a text without stop words is ``unknown``.
     """
     ws = F.transform(T.words(F.col("text")), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    counts = [F.size(F.filter("ws", lambda w, p=p: w.isin(*p.split()))).alias(k) for k, p in PROFILES.items()]
+    within = lambda stops: F.size(F.filter("ws", lambda w: w.isin(*stops.split())))
+    counts = [within(p).alias(k) for k, p in PROFILES.items()]
     df = docs.select("doc_id", "language", ws.alias("ws")).select("doc_id", "language", *counts)
     total = sum((F.col(k) for k in PROFILES), F.lit(0))
     ranked = F.sort_array(F.array(*(F.struct((-F.col(k)).alias("n"), F.lit(k).alias("k")) for k in PROFILES)))

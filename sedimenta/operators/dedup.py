@@ -33,21 +33,21 @@ def exact(docs: DataFrame, sep: str = "\n\n", min_chars: int = 50) -> DataFrame:
 
 def _unit_fractions(units: Column) -> tuple[Column, Column]:
     norm = F.transform(units, lambda u: F.lower(F.regexp_replace(T.strip(u), r"\s+", " ")))
-    kept = F.filter(norm, lambda u: u != "")
     chars = lambda a: F.aggregate(a, F.lit(0), lambda s, u: s + F.length(u))
-    once = F.array_distinct(kept)
-    n = F.size(kept)
-    return F.when(n > 0, (n - F.size(once)) / n).otherwise(0.0), F.when(n > 0, (chars(kept) - chars(once)) / F.greatest(chars(kept), F.lit(1))).otherwise(0.0)
+    share = lambda k: F.when(F.size(k) > 0, (F.size(k) - F.size(F.array_distinct(k))) / F.size(k)).otherwise(0.0)
+    share_chars = lambda k: F.when(F.size(k) > 0, (chars(k) - chars(F.array_distinct(k))) / F.greatest(chars(k), F.lit(1))).otherwise(0.0)
+    kept = F.filter(norm, lambda u: u != "")
+    return T.let(kept, share), T.let(kept, share_chars)
 
 
 def top_ngram_fraction(tokens: Column, n: int) -> Column:
     """Share of the tokens that the repeats of the most frequent n-gram take; within the row, no shuffle."""
-    grams = F.array_sort(F.transform(T.upto(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    grams = F.sort_array(F.transform(T.upto(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
     start = F.struct(F.lit(None).cast("long").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, g: Column) -> Column:
         run = F.when(s["g"] == g, s["run"] + 1).otherwise(1)
-        return F.struct(g.alias("g"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+        return T.let(run, lambda r: F.struct(g.alias("g"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
 
     best = F.aggregate(grams, start, step)["best"]
     return F.when(F.size(tokens) < 2 * n, 0.0).otherwise(F.least(F.lit(1.0), (best - 1) * n / F.size(tokens)))
@@ -69,7 +69,8 @@ def ngram(docs: DataFrame, n: int = 13, threshold: float = 0.5, sep: str = "\n\n
     """Per document, in the order of ``doc_id``: paragraphs whose n-grams mostly occurred in an earlier paragraph."""
     ps = docs.select("doc_id", T.paragraphs(F.col("text"), sep, min_chars).alias("ps"))
     p = ps.select("doc_id", F.posexplode("ps").alias("k", "p"))
-    s = p.select("doc_id", "k", F.explode(F.array_distinct(F.transform(T.shingles(T.words(F.col("p")), n, F.col("p")), lambda x: F.xxhash64(x)))).alias("s"))
+    hashed = F.transform(T.shingles(T.words(F.col("p")), n, F.col("p")), lambda x: F.xxhash64(x))
+    s = p.select("doc_id", "k", F.explode(F.array_distinct(hashed)).alias("s"))
     first = F.min(F.struct("doc_id", "k")).over(W.partitionBy("s"))
     s = s.select("doc_id", "k", (first < F.struct("doc_id", "k")).cast("int").alias("seen"))
     over = s.groupBy("doc_id", "k").agg((F.sum("seen") / F.count("*")).alias("overlap"))

@@ -52,7 +52,10 @@ def is_placeholder(entity: Column, value: Column) -> Column:
 
 def pii_hits(docs: DataFrame) -> DataFrame:
     """``doc_id, entity, value_md5, placeholder``; the value itself is never given out."""
-    hits = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v, e=e, c=c: F.struct(F.lit(e).alias("entity"), v.alias("v"), F.lit(c).alias("luhn"))) for e, p, c in PII))
+    def of(entity: str, pattern: str, check: bool) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(entity).alias("entity"), v.alias("v"), F.lit(check).alias("luhn")))
+
+    hits = F.concat(*(of(*rule) for rule in PII))
     h = docs.where("text IS NOT NULL").select("doc_id", F.explode(hits).alias("h")).where(~F.col("h.luhn") | luhn(F.col("h.v")))
     return h.select("doc_id", F.col("h.entity").alias("entity"), F.md5("h.v").alias("value_md5"), is_placeholder(F.col("h.entity"), F.col("h.v")).alias("placeholder"))
 
@@ -67,7 +70,11 @@ def pii(docs: DataFrame) -> DataFrame:
 def secret_hits(docs: DataFrame) -> DataFrame:
     """``doc_id, rule, line_no, entropy`` of candidates whose entropy reaches their rule's."""
     line = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line"))
-    hits = F.concat(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(g)), lambda v, r=r, e=e: F.struct(F.lit(r).alias("rule"), v.alias("v"), F.lit(e).alias("least"))) for r, p, g, e in SECRETS))
+
+    def of(rule: str, pattern: str, group: int, least: float) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(group)), lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("v"), F.lit(least).alias("least")))
+
+    hits = F.concat(*(of(*rule) for rule in SECRETS))
     h = line.select("doc_id", (F.col("k") + 1).cast("long").alias("line_no"), F.explode(hits).alias("h"))
     return h.select("doc_id", F.col("h.rule").alias("rule"), "line_no", F.round(T.entropy(F.col("h.v")), 4).alias("entropy"), F.col("h.least").alias("least")).where("entropy >= least").drop("least")
 

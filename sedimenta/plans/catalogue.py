@@ -171,14 +171,15 @@ def ngram_dedup_summary(spark, sf_dir):
     return n.agg(F.count("*").alias("total_docs"), S.flagged("is_ngram_dup").alias("contaminated_docs"), S.share(S.flagged("is_ngram_dup"), F.count("*")).alias("contaminated_pct"), F.sum("para_count").alias("total_paras"))
 
 
-_TOP = "CASE WHEN len(t) < {m} THEN 0.0 ELSE least(1.0, (coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {k}], chr(1)))) AS g) GROUP BY g)), 1) - 1) * {n} / len(t)) END"
 _NAMES = [*dedup.REPETITION, *(f"top_{n}gram_fraction" for n in dedup.TOP_NGRAMS)]
 _OVER = ", ".join(f"CASE WHEN {k} > {v} THEN '{k}' END" for k, v in {**dedup.REPETITION, **{f"top_{n}gram_fraction": v for n, v in dedup.TOP_NGRAMS.items()}}.items())
 REPEAT = rf"""
     b AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: trim(x) <> ''), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS ls,
           list_transform(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> ''), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS ps,
           regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_\s]') AS t FROM documents),
-    g AS (SELECT doc_id, n, max(c) AS c FROM (SELECT doc_id, n, g, count(*) AS c FROM (SELECT doc_id, n, unnest(list_transform(range(1, len(t) - n::bigint + 2), lambda i: array_to_string(t[i:i + n - 1], chr(1)))) AS g FROM b, (SELECT unnest(range(2, 11)) AS n)) GROUP BY ALL) GROUP BY 1, 2),
+    tk AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM b),
+    gr AS (SELECT doc_id, {', '.join(f"md5(w{''.join(f' || chr(1) || lead(w, {k}) OVER o' for k in range(1, n))}) AS g{n}" for n in dedup.TOP_NGRAMS)} FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    g AS ({' UNION ALL '.join(f"SELECT doc_id, {n} AS n, max(c) AS c FROM (SELECT doc_id, g{n}, count(*) AS c FROM gr WHERE g{n} IS NOT NULL GROUP BY 1, 2) GROUP BY 1" for n in dedup.TOP_NGRAMS)}),
     v AS (SELECT doc_id, {', '.join(f'max(c) FILTER (n = {n}) AS c{n}' for n in dedup.TOP_NGRAMS)} FROM g GROUP BY 1),
     x AS (SELECT doc_id, len(t)::bigint AS token_count,
           CASE WHEN len(ls) > 0 THEN (len(ls) - len(list_distinct(ls))) / len(ls) ELSE 0.0 END AS duplicate_line_fraction,
@@ -276,7 +277,7 @@ _TOPK = f"WITH {_UNIT}, p AS (SELECT a.vec_id AS doc_id, b.vec_id AS item, b.lab
 @query(f"{_TOPK} SELECT doc_id, round(max(c), 4) AS cos_max, 'item_' || arg_min(item, (-c, 'item_' || item)) AS matched_bench_id, 'label0' AS matched_benchmark, max(c) >= 0.4 AS is_semantic_contaminated FROM p GROUP BY 1")
 def embedding_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    items = e.where("label = 0").select(F.concat(F.lit("item_"), F.col("vec_id")).alias("bench_id"), F.lit("label0").alias("benchmark"), F.col("embedding").alias("e2"))
+    items = e.where("label = 0").select(F.concat(F.lit("item_"), F.col("vec_id")).alias("bench_id"), F.lit("label0").alias("benchmark"), "embedding")
     return contamination.embed(e.where("label <> 0").select(F.col("vec_id").alias("doc_id"), "embedding"), items, threshold=0.4)
 
 
@@ -380,8 +381,8 @@ _PHRASES, _TAG = "(?i)(?:" + "|".join(cleaning.PHRASES) + ")", cleaning.TAG
 EXTRACT = r"""
     b AS (SELECT id AS doc_id, t, length(t) AS n, len(regexp_extract_all(t, '{tag}')) AS tags, len(regexp_extract_all(t, '{entity}')) AS entities, len(regexp_extract_all(t, '{md}')) AS md,
           len(regexp_extract_all(t, '{url}')) AS urls, length(t) - length(replace(t, chr(65533), '')) AS moji, regexp_extract_all(t, '{ph}') AS f, regexp_split_to_array(t, '{ph}') AS gaps FROM (SELECT {id} AS id, {text} AS t FROM {table})),
-    h AS (SELECT doc_id, lower(f[k]) AS phrase, length(array_to_string(gaps[1:k], '')) + length(array_to_string(f[1:k - 1], '')) AS at, n FROM (SELECT doc_id, f, gaps, n, unnest(range(1, len(f) + 1)) AS k FROM b)),
-    m AS (SELECT doc_id, count(*) AS hits, sum(CASE WHEN at >= e AND at < greatest(n - e, e) THEN 1 ELSE 0 END) AS mid FROM (SELECT *, greatest(200, floor(n * 0.05)) AS e FROM h) GROUP BY 1),
+    h AS (SELECT doc_id, lower(f[k]) AS phrase, length(array_to_string(gaps[1:k], '')) + length(array_to_string(f[1:k - 1], '')) AS pos, n FROM (SELECT doc_id, f, gaps, n, unnest(range(1, len(f) + 1)) AS k FROM b)),
+    m AS (SELECT doc_id, count(*) AS hits, sum(CASE WHEN pos >= e AND pos < greatest(n - e, e) THEN 1 ELSE 0 END) AS mid FROM (SELECT *, greatest(200, floor(n * 0.05)) AS e FROM h) GROUP BY 1),
     w AS (SELECT b.*, coalesce(hits, 0) AS hits, coalesce(hits - mid + mid * 0.2, 0)::double AS weighted FROM b LEFT JOIN m USING (doc_id)),
     r AS (SELECT *, tags >= 3 OR entities >= 1 AS html, n > 0 AND n < 50 AS short FROM w),
     s AS (SELECT *, (CASE WHEN short THEN 3 ELSE 0 END + CASE WHEN moji > 0 THEN 2 ELSE 0 END + CASE WHEN html THEN 2 ELSE 0 END + least(weighted / 2, 2))::double AS risk FROM r),
@@ -608,13 +609,13 @@ def kendall_tau(spark, sf_dir):
     return decisions.kendall_tau_b(_scores(spark, sf_dir))
 
 
-@query(f"""WITH {_SCORES}, sd AS (SELECT (doc_id % 2)::varchar AS seed, source AS recipe, round(avg(length(text)), 6) AS proxy FROM documents GROUP BY 1, 2), ok AS (SELECT recipe FROM sd GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT seed) FROM sd)),
+@query(f"""WITH {_SCORES}, sd AS (SELECT ((doc_id // 20) % 2)::varchar AS seed, source AS recipe, round(avg(length(text)), 6) AS proxy FROM documents GROUP BY 1, 2), ok AS (SELECT recipe FROM sd GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT seed) FROM sd)),
        pr AS (SELECT a.recipe AS l, b.recipe AS r, a.target - b.target AS dt FROM sc a JOIN sc b ON a.recipe < b.recipe WHERE a.recipe IN (FROM ok) AND b.recipe IN (FROM ok) AND a.target <> b.target),
        m AS (SELECT l, r, dt, min(sign(x.proxy - y.proxy)) AS lo, max(sign(x.proxy - y.proxy)) AS hi FROM pr JOIN sd x ON x.recipe = l JOIN sd y ON y.recipe = r AND x.seed = y.seed GROUP BY 1, 2, 3),
        g AS (SELECT count(*) AS pair_count, sum((lo = hi AND lo <> 0 AND lo = sign(dt))::int)::bigint AS correct, sum((lo = hi AND lo <> 0 AND lo <> sign(dt))::int)::bigint AS incorrect, sum((lo <> hi OR lo = 0)::int)::bigint AS abstained FROM m)
        SELECT *, round((correct + incorrect) / pair_count, 6) AS coverage, CASE WHEN correct + incorrect > 0 THEN round(correct / (correct + incorrect), 6) END AS conditional_accuracy FROM g""")
 def seed_stability(spark, sf_dir):
-    seeds = documents(spark, sf_dir).groupBy((F.col("doc_id") % 2).cast("string").alias("seed"), F.col("source").alias("recipe")).agg(F.round(F.avg(F.length("text")), 6).alias("proxy"))
+    seeds = documents(spark, sf_dir).groupBy((F.floor(F.col("doc_id") / 20) % 2).cast("string").alias("seed"), F.col("source").alias("recipe")).agg(F.round(F.avg(F.length("text")), 6).alias("proxy"))
     return decisions.seed_stability(seeds, _scores(spark, sf_dir).select("recipe", "target"))
 
 
