@@ -151,6 +151,16 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return _rows("of", [shard] * len(out_b), out_b, out_p)
 
 
+def _entities(table: pa.Table) -> list[np.ndarray]:
+    """A fragment's segments, one of each entity (an id of several texts may bring an entity twice)."""
+    sig, size, count, g, rest = _segments(table, 5)
+    _, first = np.unique(sig, return_index=True)
+    if len(first) < len(sig):
+        at = ranges((np.cumsum(count.astype(np.int64)) - count)[first], count[first])
+        sig, size, count, g, rest = sig[first], size[first], count[first], g[at], rest[at]
+    return [sig, size, count, g, rest]
+
+
 def _cut(threshold: float, parts: int):
     """At home: entities that may have a partner, their grams put in the global order and cut into fragments."""
 
@@ -198,7 +208,7 @@ def _candidates(threshold: float):
     c = threshold / (1 + threshold)
 
     def run(table: pa.Table) -> pa.Table:
-        sig, size, count, g, rest = _segments(table, 5)
+        sig, size, count, g, rest = _entities(table)
         doc = np.repeat(np.arange(len(sig)), count)
         use = rest > 0
         g, doc, rest = g[use], doc[use], rest[use].astype(np.int64)
@@ -252,7 +262,7 @@ def _overlaps(key, pairs: pa.Table, table: pa.Table) -> pa.Table:
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
     if not pairs.num_rows or not table.num_rows:
         return empty
-    sig, size, count, g, _ = _segments(table, 5)
+    sig, size, count, g, _ = _entities(table)
     order = np.argsort(sig, kind="stable")
     sig, count, starts = sig[order], count[order].astype(np.int64), (np.cumsum(count.astype(np.int64)) - count)[order]
     a, b = (pairs.column(c).to_numpy().view(np.uint64) for c in "ab")
