@@ -94,6 +94,14 @@ def by_shard(df: DataFrame, fn: Callable, schema: str, key: str = "shard") -> Da
     return df.groupBy(key).applyInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that no column of ``df`` has."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of rows that have an id; whatever other columns there are stays behind."""
     ship(docs.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import pick, small, written
+from .common import fresh, pick, small, written
 
 #: (modulus, point) pairs; tests use small moduli to force collisions.
 MODULI = ((2147483647, 1103515245), (2147483629, 1812433253))
@@ -167,15 +167,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows without id or text stay.  Of rows that share id and text, one stays.
     """
-    drop = written(_copies(docs, id_col, text_col, chunk_bytes, MODULI).select(F.col("id").alias("__i"), F.col("tag").alias("__t")), "dropped")
-    tags = pick(docs, id_col, text_col).where("text IS NOT NULL").select(F.col("id").alias("__i"), F.xxhash64("text").alias("__t"))
-    twice = written(tags.groupBy("__i", "__t").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "repeated")
+    i, t, n = fresh(docs, "id", "tag", "n")
+    drop = written(_copies(docs, id_col, text_col, chunk_bytes, MODULI).select(F.col("id").alias(i), F.col("tag").alias(t)), "dropped")
+    tags = pick(docs, id_col, text_col).where("text IS NOT NULL").select(F.col("id").alias(i), F.xxhash64("text").alias(t))
+    twice = written(tags.groupBy(i, t).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n), "repeated")
     text = F.col(text_col).cast("string")
-    match = (F.col(id_col).cast("long") == F.col("__i")) & (F.xxhash64(text) == F.col("__t")) & text.isNotNull()
+    match = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(t)) & text.isNotNull()
     kept = docs.join(small(drop), match, "left_anti")
     single = kept.join(small(twice), match, "left_anti")
     rows = kept.join(small(twice), match, "left_semi")
-    one = rows.withColumn("__n", F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), text).orderBy(F.lit(0)))).where("__n = 1").drop("__n")
+    one = rows.withColumn(n, F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), text).orderBy(F.lit(0)))).where(F.col(n) == 1).drop(n)
     return single.unionByName(one)
 
 

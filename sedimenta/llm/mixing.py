@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import small, written
+from .common import fresh, small, written
 
 ALPHA = 0.7
 KEEP = 0.8
@@ -168,6 +168,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep:
 def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``mixed`` draws, their columns as they are; all rows of an id go together."""
     out = _drawn(docs, weights, keep, alpha, seed, id_col, source_col, text_col, tokens).where("NOT drawn")
-    out = written(out.select(F.col("id").alias("__i")), "not-drawn")
+    (name,) = fresh(docs, "id")
+    out = written(out.select(F.col("id").alias(name)), "not-drawn")
     key = F.col(id_col).cast("long")
-    return docs.where(key.isNotNull()).join(small(out), key == F.col("__i"), "left_anti")
+    return docs.where(key.isNotNull()).join(small(out), key == F.col(name), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import by_shard, decode, encode, low, pack, pick, ranges, shards_for, small, unpack, whole, written
+from .common import by_shard, decode, encode, fresh, low, pack, pick, ranges, shards_for, small, unpack, whole, written
 
 N = 3
 THRESHOLD = 0.5
@@ -366,14 +366,15 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     without a pair stay, so do rows without id, without text or words.  Rows that share
     an id stay or go together: they go if each of their texts has a group of a smaller id.
     """
+    (name,) = fresh(docs, "id")
     members, pairs = entity_pairs(docs, n, threshold, id_col, text_col)
     reps = members.groupBy("sig").agg(F.min("id").alias("rep"))
     a, b = reps.select(F.col("sig").alias("a"), F.col("rep").alias("u")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("v"))
     roots = components(pairs.join(a, "a").join(b, "b").select("u", "v"))
     of = members.join(reps, "sig").join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("root"))
-    gone = of.groupBy("id").agg(F.max("root").alias("root")).where("root < id").select(F.col("id").alias("__i"))
+    gone = of.groupBy("id").agg(F.max("root").alias("root")).where("root < id").select(F.col("id").alias(name))
     key = F.col(id_col).cast("long")
-    return docs.join(small(written(gone, "near-duplicates")), key == F.col("__i"), "left_anti")
+    return docs.join(small(written(gone, "near-duplicates")), key == F.col(name), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import kernels as K
-from .common import small, written
+from .common import fresh, small, written
 
 #: name, count, of which total, pseudo-counts; the first is a mean, the others are shares.
 RATES = (
@@ -263,8 +263,9 @@ def kept(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP, truste
 
     A row goes if it is rejected under its language and source; rows without id stay.
     """
+    i, t, la, so = fresh(docs, "id", "tag", "lang", "source")
     bad = _judged(docs, tail, min_group, trusted, floor, id_col, text_col, lang_col, source_col).where("NOT keep AND id IS NOT NULL")
-    bad = written(bad.select(F.col("id").alias("__i"), F.col("tag").alias("__t"), F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct(), "rejected")
+    bad = written(bad.select(F.col("id").alias(i), F.col("tag").alias(t), F.col("lang").alias(la), F.col("source").alias(so)).distinct(), "rejected")
     text = F.col(text_col).cast("string")
-    match = (F.col(id_col).cast("long") == F.col("__i")) & (F.xxhash64(text) == F.col("__t")) & F.col(lang_col).cast("string").eqNullSafe(F.col("__l")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s"))
+    match = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(t)) & F.col(lang_col).cast("string").eqNullSafe(F.col(la)) & F.col(source_col).cast("string").eqNullSafe(F.col(so))
     return docs.join(small(bad), match, "left_anti")
