@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -74,12 +75,13 @@ def _members(n: int):
 def _scatter(n: int, shards: int):
     """(id, text) of representatives to packed rows (shard, batch, payload).
 
-    A batch is named by the signature of its first entity.  Its grams go to their
+    A batch is named by its partition and its number there.  Its grams go to their
     shards with the entities' places in the batch; its directory (signatures and
     sizes) goes past the shards, under a negative shard, to the batch's home.
     """
 
     def run(batches):
+        name = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = K.buffers(batch.column(1))
             parts: list[tuple] = []
@@ -90,10 +92,11 @@ def _scatter(n: int, shards: int):
                 parts.append((g, sig[size > 0], size[size > 0]))
                 held += len(g)
                 if held > 1_500_000:
-                    yield _by_shard(parts, shards)
-                    parts, held = [], 0
+                    yield _by_shard(parts, shards, name)
+                    parts, held, name = [], 0, name + 1
             if held:
-                yield _by_shard(parts, shards)
+                yield _by_shard(parts, shards, name)
+                name += 1
 
     return run
 
@@ -102,15 +105,14 @@ def _rows(key: str, keys: list[int], batches: list[int], payloads: list[bytes])
     return pa.table({key: pa.array(keys, pa.int32()), "batch": pa.array(batches, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
 
-def _by_shard(parts: list[tuple], shards: int) -> pa.RecordBatch:
+def _by_shard(parts: list[tuple], shards: int, name: int) -> pa.RecordBatch:
     g, sig, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    name = int(sig[:1].view(np.int64)[0])
     doc = np.repeat(np.arange(len(size)), size)
     shard = (g >> np.uint64(48)) % np.uint64(shards)
     order = np.argsort(shard.astype(np.uint16), kind="stable")
     g, doc, shard = g[order], doc[order], shard[order].astype(np.int64)
     edges = np.searchsorted(shard, np.arange(shards + 1))
-    out_s, out_p = [-1 - (name >> 8) % shards], [pack(sig, size.astype(np.uint32))]
+    out_s, out_p = [-1 - (name ^ name >> 32) % shards], [pack(sig, size.astype(np.uint32))]
     for s in np.flatnonzero(np.diff(edges)):
         a, b = edges[s], edges[s + 1]
         out_s.append(int(s))
