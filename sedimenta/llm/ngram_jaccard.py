@@ -37,6 +37,8 @@ from .common import by_shard, decode, encode, fresh, low, pack, pick, ranges, sh
 N = 3
 THRESHOLD = 0.5
 FRAGMENT_RANGES = 2
+#: Ids of one set that ``all_pairs`` joins as one row; larger sets are joined block by block.
+BLOCK = 1024
 _SLACK = 1e-9
 
 
@@ -340,6 +342,41 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", F.round("jaccard", 6).alias("jaccard")).groupBy("doc_a", "doc_b").agg(F.max("common").alias("common"), F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fragment_ranges: int = FRAGMENT_RANGES, block: int = BLOCK) -> DataFrame:
+    """Every pair that ``jaccard_join`` stands for, with its columns: each member of a set with each other one, and with each member of each near set.
+
+    The result is quadratic in the number of copies, and only the result: ids travel
+    as arrays of about ``block``, joined by (set, block), so that the pairs of a large
+    set are spread over tasks and are made after the last exchange.  Pairs of an id of
+    several sets can come more than once; only those are grouped.
+    """
+    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, fragment_ranges)
+    sets = members.groupBy("sig").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
+    several = members.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("id").alias("__i"))
+    placed = members.drop("size").join(sets, "sig").join(small(written(several, "several")), F.col("id") == F.col("__i"), "left")
+    # odd blocks hold the ids of several sets
+    place = F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / block)) * 2 + F.col("__i").isNotNull().cast("long")
+    blocks = written(placed.groupBy("sig", place.alias("at")).agg(F.collect_list("id").alias("ids")), "blocks")
+    # a set has the one block 0, or is listed
+    listed = small(written(blocks.groupBy("sig").agg(F.sort_array(F.collect_list("at")).alias("blocks")).where("size(blocks) > 1 OR blocks[0] <> 0"), "listed"))
+    near = pairs.select("a", "b", "common", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
+    same = sets.where("copies > 1").select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.col("size").alias("common"), F.lit(1.0).alias("jaccard"))
+    both = near.unionByName(same)
+    for of, at in (("a", "i"), ("b", "j")):
+        both = both.join(listed.select(F.col("sig").alias(of), F.col("blocks").alias("of")), of, "left").withColumn(at, F.explode(F.coalesce("of", F.array(F.lit(0).cast("long"))))).drop("of")
+    both = both.where("a <> b OR i <= j")
+
+    def expanded(some: DataFrame) -> DataFrame:
+        for of, at, ids in (("a", "i", "xs"), ("b", "j", "ys")):
+            some = some.join(blocks.select(F.col("sig").alias(of), F.col("at").alias(at), F.col("ids").alias(ids)), [of, at])
+        some = some.withColumn("x", F.explode("xs")).drop("xs").withColumn("y", F.explode("ys")).where("x <> y AND (a <> b OR i < j OR x < y)")
+        return some.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", F.round("jaccard", 6).alias("jaccard"))
+
+    odd = "i % 2 = 1 OR j % 2 = 1"
+    again = expanded(both.where(odd)).groupBy("doc_a", "doc_b").agg(F.max("common").alias("common"), F.max("jaccard").alias("jaccard"))
+    return expanded(both.where(f"NOT ({odd})")).unionByName(again)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of ``edges(u, v)``: the smallest node is the root.
 
@@ -396,3 +433,16 @@ def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
           UNION ALL SELECT m.doc_id, a, common, jaccard FROM p JOIN e m ON m.rep = b)
     SELECT least(x, y) AS doc_a, greatest(x, y) AS doc_b, max(common) AS common, max(round(jaccard, 6)) AS jaccard FROM q GROUP BY 1, 2
     """
+
+
+def all_oracle(n: int = N, threshold: float = THRESHOLD) -> str:
+    """``all_pairs`` in DuckDB's SQL, by a plain self-join of all documents' n-gram sets."""
+    return f"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS gram FROM w WHERE len(ws) > 0),
+    s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY 1),
+    o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    SELECT doc_a, doc_b, common, round(common / (a.size + b.size - common), 6) AS jaccard FROM o JOIN s a ON a.doc_id = doc_a JOIN s b ON b.doc_id = doc_b
+    WHERE common >= {threshold} * (a.size + b.size - common) - 1e-9
+    """

@@ -189,6 +189,29 @@ def test_pairs_of_hostile_rows(hostile, empty):
     assert ngram_jaccard.jaccard_join(empty).count() == 0 and ngram_jaccard.one_of_each(empty).count() == 0
 
 
+def all_brute_pairs(rows, n, threshold):
+    sets = [(r["doc_id"], gram_set(r["text"], n)) for r in rows if r["doc_id"] is not None and gram_set(r["text"], n)]
+    return {tuple(sorted((i, j))) for (i, s), (j, t) in itertools.combinations(sets, 2) if i != j and len(s & t) >= threshold * len(s | t) - 1e-9}
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_all_pairs_are_those_of_unreduced_brute_force(spark, hostile, block):
+    rng = random.Random(8)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    near = [" ".join(a[:k] + ["z"] + a[k + 1 :]) for k in (0, 39)]
+    texts = [" ".join(a)] * 9 + [near[0]] * 7 + [near[1]] * 3 + [words(rng, 30)] * 5 + [words(rng, 30)]
+    rows = [(i * 7 % 25, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, near[1], "en", "s", 0), (4, words(rng, 30), "en", "s", 0)]
+    for d in (spark.createDataFrame(rows, DOCS), hostile):
+        got = [(r.doc_a, r.doc_b) for r in ngram_jaccard.all_pairs(d, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == all_brute_pairs(d.collect(), 3, 0.5)
+        reduced = {(r.doc_a, r.doc_b) for r in ngram_jaccard.jaccard_join(d).collect()}
+        assert set(got) > reduced or d is hostile and set(got) == reduced
+
+
+def test_all_pairs_of_no_rows(empty):
+    assert ngram_jaccard.all_pairs(empty).count() == 0
+
+
 # ------------------------------------------------------------------ 3 language model
 
 
