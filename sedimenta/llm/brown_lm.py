@@ -1,8 +1,8 @@
 """Brown class-based bigram language model (operator 3).
 
-Words that make up at least ``MIN_SHARE`` of the corpus are the vocabulary, which by
-that is at most ``1 / MIN_SHARE`` words whatever the size of the corpus; all other
-words are one class of their own.  Exchange clustering assigns the vocabulary to
+Words that occur ``MIN_COUNT`` times or more are the vocabulary, whatever the size of
+the corpus, so it grows with the corpus; words that occur once are one class of their
+own, in which each has the share of its one occurrence.  Exchange clustering assigns the vocabulary to
 ``CLASSES`` classes: each word moves to the class that raises the likelihood of the
 class bigrams most, by the exact change for every class.  The vocabulary is cut into
 shards that hold their words' neighbours; within an iteration a shard exchanges its
@@ -27,11 +27,15 @@ from . import kernels as K
 from .common import by_shard, low, pack, pick, shards_for, unpack, whole, written
 
 CLASSES = 64
-MIN_SHARE = 2e-6
+MIN_COUNT = 2
+#: A least share of the corpus on top of that, for callers that want a smaller vocabulary.
+MIN_SHARE = 0.0
 ITERATIONS = 6
 BLEND = 0.95
 #: Vocabulary words by shard of the exchange.
 SHARD_WORDS = 512
+#: Words of at most FEW bigrams are exchanged TOGETHER at a time, from the same class counts.
+FEW, TOGETHER = 30, 64
 
 
 def _tally(shards: int):
@@ -129,7 +133,7 @@ def _bigrams(vocab: Vocabulary, shards: int):
                 at = order[edges[s] : edges[s + 1]]
                 m = n[at]
                 out_s.append(int(s))
-                out_p.append(pack(np.array([side], np.uint8), low(word[at].view(np.uint64), 3), low(other[at].view(np.uint64), 3), np.minimum(m, 255).astype(np.uint8), m[m >= 255]))
+                out_p.append(pack(np.array([side], np.uint8), low(word[at].view(np.uint64), 4), low(other[at].view(np.uint64), 4), np.minimum(m, 255).astype(np.uint8), m[m >= 255]))
         return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_p, pa.binary())], ["shard", "payload"])
 
     def run(batches):
@@ -167,7 +171,7 @@ def _adjacent(table: pa.Table) -> pa.Table:
         side, word, other, n, big = unpack(v.as_buffer())
         n = n.astype(np.int64)
         n[n == 255] = big
-        sides[int(side[0])].append((whole(word, 3).astype(np.int64) << 24 | whole(other, 3).astype(np.int64), n))
+        sides[int(side[0])].append((whole(word, 4).astype(np.int64) << 32 | whole(other, 4).astype(np.int64), n))
     cols = []
     for parts in sides:
         key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -176,7 +180,7 @@ def _adjacent(table: pa.Table) -> pa.Table:
         key, n = key[order], n[order]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         n = np.add.reduceat(n, edge) if len(edge) else n
-        cols += [(key[edge] >> 24).astype(np.int32), (key[edge] & 0xFFFFFF).astype(np.int32), n]
+        cols += [(key[edge] >> 32).astype(np.int32), (key[edge] & 0xFFFFFFFF).astype(np.int32), n]
     return pa.table({"shard": pa.array([shard], pa.int32()), "payload": pa.array([pack(*cols)], pa.binary())})
 
 
@@ -189,7 +193,8 @@ def exchange(words: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.n
 
     ``after[i, c]`` and ``before[i, c]`` count the neighbours of word ``i`` of class
     ``c`` (itself excluded), ``own[i]`` its bigrams with itself, ``counts`` the class
-    bigrams; classes from ``movable`` on take no words.
+    bigrams; classes from ``movable`` on take no words.  Words of few bigrams
+    (``FEW``), which hardly change the counts, move ``TOGETHER`` at a time.
     """
     n = counts.astype(float).copy()
     g = _xlogx(n)  # kept up to date along the rows and columns that change
@@ -208,7 +213,8 @@ def exchange(words: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.n
         rows[:] += sign * c
         cols[:] += sign * r
 
-    for i in range(len(words)):
+    few = after.sum(1) + before.sum(1) + own <= FEW
+    for i in np.flatnonzero(~few):
         r, c, s, a = after[i].astype(float), before[i].astype(float), float(own[i]), int(out[i])
         shift(a, r, c, s, -1.0)
         on_r, on_c = np.flatnonzero(r), np.flatnonzero(c)
@@ -226,9 +232,50 @@ def exchange(words: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.n
             best = a
         out[i] = best
         shift(best, r, c, s, 1.0)
+    rest = np.flatnonzero(few)
+    for lo in range(0, len(rest), TOGETHER):
+        at = rest[lo : lo + TOGETHER]
+        was = out[at].astype(np.int64)
+        r, c, s = after[at].astype(float), before[at].astype(float), own[at].astype(float)
+        gain = _gains(r, c, s, was, n, movable)
+        best = np.argmax(gain, 1)
+        each = np.arange(len(at))
+        moves = np.flatnonzero(gain[each, best] > gain[each, was] + 1e-9)
+        for k in moves:
+            for to, sign in ((was[k], -1.0), (best[k], 1.0)):
+                n[to] += sign * r[k]
+                n[:, to] += sign * c[k]
+                n[to, to] += sign * s[k]
+        out[at[moves]] = best[moves]
     return out
 
 
+def _gains(r: np.ndarray, c: np.ndarray, s: np.ndarray, a: np.ndarray, n: np.ndarray, movable: int) -> np.ndarray:
+    """(word, class): what each word adds to the likelihood in each class, taken out of its class ``a`` alone."""
+    m, b = len(a), np.arange(movable)
+    gain = np.zeros((m, movable))
+    for mine, other, cells in ((r, c, n.T), (c, r, n)):
+        # cells[j, b] counts class b with its neighbour j; what the word has in them is taken out
+        w, j = np.nonzero(mine)
+        x, e = mine[w, j], np.arange(len(w))
+        t = cells[j, :movable]
+        home = j == a[w]
+        t[home] -= other[w[home], :movable]
+        t[e, a[w]] -= x + np.where(home, s[w], 0)
+        if len(w):
+            firsts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[firsts]] += np.add.reduceat(_xlogx(t + x[:, None]) - _xlogx(t), firsts)
+    own = b == a[:, None]
+    d = n[b, b] - own * (r[:, :movable] + c[:, :movable] + s[:, None])
+    rb, cb = r[:, :movable], c[:, :movable]
+    gain += _xlogx(d + rb + cb + s[:, None]) - _xlogx(d + rb) - _xlogx(d + cb) + _xlogx(d)
+    for mine, other, sums in ((r, c, n.sum(1)), (c, r, n.sum(0))):
+        total = mine.sum(1, keepdims=True) + s[:, None]
+        margin = sums[:movable] - own * total
+        gain -= _xlogx(margin + total) - _xlogx(margin)
+    return gain
+
+
 def _neighbours(payload, cls: np.ndarray, width: int):
     """(words, after, before, own) by class from a shard's packed bigrams."""
     lw, lo_, ln, rw, ro, rn = unpack(payload)
@@ -246,10 +293,11 @@ def _neighbours(payload, cls: np.ndarray, width: int):
 
 
 def _step(cls: np.ndarray, counts: np.ndarray | None, movable: int):
-    """A shard's exchange; without ``counts`` only its share of the class bigrams under ``cls``."""
+    """A shard's exchange; without ``counts`` only a task's share of the class bigrams under ``cls``."""
     width = movable + 2
 
     def run(batches):
+        share = np.zeros((width, width))
         for batch in batches:
             for v in batch.column("payload"):
                 words, after, before, own = _neighbours(v.as_buffer(), cls, width)
@@ -258,13 +306,13 @@ def _step(cls: np.ndarray, counts: np.ndarray | None, movable: int):
                     new = exchange(words, after, before, own, a, counts, movable)
                     yield pa.RecordBatch.from_arrays([pa.array([pack(words.astype(np.int32), new.astype(np.int16))], pa.binary())], ["payload"])
                     continue
-                share = np.zeros((width, width))
                 np.add.at(share, a, after)
                 np.add.at(share, (a, a), own)
                 # bigrams whose first word is no vocabulary word are counted from the second's side
                 for c in (movable, movable + 1):
                     np.add.at(share[c], a, before[:, c])
-                yield pa.RecordBatch.from_arrays([pa.array([pack(share.ravel())], pa.binary())], ["payload"])
+        if counts is None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(share.ravel())], pa.binary())], ["payload"])
 
     return run
 
@@ -316,8 +364,8 @@ def trained(base: DataFrame, shards: int, classes: int = CLASSES, min_share: flo
     tally = base.mapInArrow(_tally(shards), "shard int, payload binary")
     words = written(by_shard(tally, _summed, "tokens long, types long, words binary"), "words")
     tokens, types = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    least = max(2, math.ceil(min_share * tokens))
-    found = words.select("words").mapInArrow(_frequent(least), "h long, n long").toPandas()  # at most 1 / min_share words
+    least = max(MIN_COUNT, math.ceil(min_share * tokens))
+    found = words.select("words").mapInArrow(_frequent(least), "h long, n long").toPandas()  # the vocabulary: 16 bytes a word
     vocab = Vocabulary(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
     cls = np.r_[np.arange(vocab.size) % classes, classes, classes + 1].astype(np.int16)
     parts = max(1, -(-vocab.size // SHARD_WORDS))
@@ -327,7 +375,7 @@ def trained(base: DataFrame, shards: int, classes: int = CLASSES, min_share: flo
 
     def class_counts(cls: np.ndarray) -> np.ndarray:
         total = np.zeros(width * width)
-        for row in adjacent.mapInArrow(_step(cls, None, classes), "payload binary").toLocalIterator():  # a matrix of classes by shard
+        for row in adjacent.mapInArrow(_step(cls, None, classes), "payload binary").collect():  # a matrix of classes by task
             total += unpack(bytes(row["payload"]))[0]
         return total.reshape(width, width)
 
@@ -337,7 +385,7 @@ def trained(base: DataFrame, shards: int, classes: int = CLASSES, min_share: flo
     counts = class_counts(cls)
     for _ in range(iterations if vocab.size else 0):
         new = cls.copy()
-        for row in adjacent.mapInArrow(_step(cls, counts, classes), "payload binary").toLocalIterator():  # the vocabulary's classes
+        for row in adjacent.mapInArrow(_step(cls, counts, classes), "payload binary").collect():  # the vocabulary's classes, 6 bytes a word
             w, c = unpack(bytes(row["payload"]))
             new[w] = c
         moved = class_counts(new)

@@ -238,6 +238,21 @@ def test_exchange_gain_is_exact():
         assert like(counts(np.r_[cls[:i], new, cls[i + 1 :]])) == pytest.approx(best)
 
 
+def test_words_of_few_bigrams_move_as_one_alone(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, r, c, own = rng.integers(0, 4, 1), rng.poisson(0.8, (1, 6)), rng.poisson(0.8, (1, 6)), rng.integers(0, 3, 1)
+        n = rng.poisson(2.0, (6, 6))
+        n[a[0]] += r[0]
+        n[:, a[0]] += c[0]
+        n[a[0], a[0]] += own[0]
+        got = []
+        for few in (-1, 100):
+            monkeypatch.setattr(brown_lm, "FEW", few)
+            got.append(int(brown_lm.exchange(np.array([0]), r, c, own, a, n, 4)[0]))
+        assert got[0] == got[1]
+
+
 def test_model_counts_and_scores(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat"]) for _ in range(20)) for _ in range(30)] + ["", None, "zebra"]
@@ -258,6 +273,13 @@ def test_model_counts_and_scores(spark):
     assert score(m) >= score(first) and r[32].perplexity > r[0].perplexity
 
 
+def test_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
+    texts = ["the cat " * 800_000, "rare word", "rare word again", "rare once"]
+    base = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    m = brown_lm.trained(base, 4, classes=3, iterations=1)
+    assert sorted(m.vocab.counts) == [2, 3, 800_000, 800_000]
+
+
 def test_model_of_hostile_rows(hostile, empty):
     r = brown_lm.perplexities(hostile, classes=4).collect()
     assert len(r) == hostile.where("doc_id IS NOT NULL").count() and all(x.perplexity is None or x.perplexity >= 1 for x in r)
