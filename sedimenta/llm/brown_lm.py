@@ -17,6 +17,7 @@ perplexity of their words.  All counts are over all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -359,6 +360,31 @@ def _score(model: Model):
     return run
 
 
+def likelihood(n: np.ndarray) -> float:
+    """Of class bigrams, up to what doesn't depend on the classes."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
+
+
+def raised(cls: np.ndarray, new: np.ndarray, counts: np.ndarray, class_counts: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts after the moves from ``cls`` to ``new``, or after a half, a quarter and so on of them, until the likelihood rises.
+
+    Each shard made its moves from the same counts, so together they may go too far.  The
+    first word that moved is always among them: no move came before it in its shard, so
+    its gain is exact.
+    """
+    words = np.flatnonzero(new != cls)
+    order = np.r_[words[:1], np.random.default_rng(len(words)).permutation(words[1:])]
+    before = likelihood(counts)
+    while len(order):
+        some = cls.copy()
+        some[order] = new[order]
+        moved = class_counts(some)
+        if likelihood(moved) > before:
+            return some, moved
+        order = order[: len(order) // 2]
+    return cls, counts
+
+
 def trained(base: DataFrame, shards: int, classes: int = CLASSES, min_share: float = MIN_SHARE, iterations: int = ITERATIONS) -> Model:
     """The model of all texts of ``base(id, text)``."""
     tally = base.mapInArrow(_tally(shards), "shard int, payload binary")
@@ -379,19 +405,15 @@ def trained(base: DataFrame, shards: int, classes: int = CLASSES, min_share: flo
             total += unpack(bytes(row["payload"]))[0]
         return total.reshape(width, width)
 
-    def likelihood(n: np.ndarray) -> float:
-        return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
-
     counts = class_counts(cls)
     for _ in range(iterations if vocab.size else 0):
         new = cls.copy()
         for row in adjacent.mapInArrow(_step(cls, counts, classes), "payload binary").collect():  # the vocabulary's classes, 6 bytes a word
             w, c = unpack(bytes(row["payload"]))
             new[w] = c
-        moved = class_counts(new)
-        if likelihood(moved) <= likelihood(counts):
+        if not (new != cls).any():
             break
-        cls, counts = new, moved
+        cls, counts = raised(cls, new, counts, class_counts)
     return Model(vocab, cls.astype(np.int64), counts, int(types) - vocab.size, int(tokens) - int(vocab.counts.sum()))
 
 

@@ -253,6 +253,33 @@ def test_words_of_few_bigrams_move_as_one_alone(monkeypatch):
         assert got[0] == got[1]
 
 
+def test_moves_of_several_shards_raise_the_likelihood():
+    rng = np.random.default_rng(3)
+    v, c, dropped = 8, 2, 0
+    for _ in range(100):
+        cls = np.r_[np.arange(v) % c, c, c + 1]
+        n = rng.poisson(0.7, (v + 2, v + 2))
+        n[:, v + 1] = 0
+
+        def counts(k):
+            out = np.zeros((c + 2, c + 2))
+            np.add.at(out, (k[:, None].repeat(v + 2, 1), k[None, :].repeat(v + 2, 0)), n)
+            return out
+
+        bare, new = n - np.diag(np.diag(n)), cls.copy()
+        for i in range(v):  # a shard for each word
+            after, before = np.zeros((1, c + 2)), np.zeros((1, c + 2))
+            np.add.at(after[0], cls, bare[i])
+            np.add.at(before[0], cls, bare[:, i])
+            new[i] = brown_lm.exchange(np.array([i]), after, before, n[i : i + 1, i], cls[i : i + 1], counts(cls), c)[0]
+        if (new != cls).any():
+            start = brown_lm.likelihood(counts(cls))
+            dropped += brown_lm.likelihood(counts(new)) <= start
+            k, m = brown_lm.raised(cls, new, counts(cls), counts)
+            assert brown_lm.likelihood(m) > start and (m == counts(k)).all()
+    assert dropped
+
+
 def test_model_counts_and_scores(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat"]) for _ in range(20)) for _ in range(30)] + ["", None, "zebra"]
