@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,7 @@ def duck():
 def rows(df) -> list:
     """Rows in an order of their own, columns by name, whole numbers as such."""
     cols = sorted(df.columns)
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else round(v, 6) if isinstance(v, float) else v
+    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else int(v) if isinstance(v, float) and v == int(v) else round(v, 6) if isinstance(v, float) else v
     return sorted(([plain(x) for x in r] for r in df[cols].astype(object).values.tolist()), key=repr)
 
 
