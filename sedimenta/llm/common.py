@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -64,13 +65,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which ``small`` broadcasts; beyond, the join is left to Catalyst.
-SMALL_ROWS = 1_000_000
+#: Bytes up to which ``small`` broadcasts; beyond, the join is left to Catalyst.
+SMALL_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` (narrow, and written before) to be broadcast if it has at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df`` (written before) to be broadcast if its values take at most ``most`` bytes; else as it is."""
+    fixed = 16 + sum({"string": 8, "binary": 8}.get(k, 16 if k.startswith("decimal") else 8) for _, k in df.dtypes)
+    grows = [F.octet_length(c) if k in ("string", "binary") else F.size(c) * 16 for c, k in df.dtypes if k in ("string", "binary") or k.startswith(("array", "map"))]
+    each = sum((F.coalesce(g, F.lit(0)) for g in grows), F.lit(fixed)).cast("long")
+    found = df.limit(most // fixed + 1).agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    return F.broadcast(df) if found <= most else df
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -84,14 +89,49 @@ def source_bytes(df: DataFrame) -> int:
 
 
 def shards_for(df: DataFrame, each: int = SHARD_BYTES) -> int:
-    """Number of shards for an exchange over ``df``: follows its size, 4 at least, 65,536 at most."""
+    """Number of shards for an exchange over ``df``: follows its size, 4 at least; a shard's name has 24 bits."""
     ship(df.sparkSession)
-    return int(min(max(4, -(-source_bytes(df) // each)), 1 << 16))
+    return int(min(max(4, -(-source_bytes(df) // each)), 1 << 24))
+
+
+def by_name(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Stable order by shard."""
+    return np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: workers live as long as their executor."""
+    try:
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to return
+        pass
 
 
 def by_shard(df: DataFrame, fn: Callable, schema: str, key: str = "shard") -> DataFrame:
     """``fn(table) -> table`` on all rows of each shard."""
-    return df.groupBy(key).applyInArrow(fn, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            give_back()
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
+def streamed(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn(batches) -> batches`` on the rows of each task."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -102,10 +142,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def is_whole(df: DataFrame, col: str) -> bool:
+    return dict(df.select(col).dtypes)[col] in ("tinyint", "smallint", "int", "bigint")
+
+
+def key_of(df: DataFrame, id_col: str) -> Column:
+    """A row's id as a long: itself if ids are whole numbers, else a hash of its text (64 bits; ``named`` undoes it)."""
+    return F.col(id_col).cast("long") if is_whole(df, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+
+
+def named(found: DataFrame, docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
+    """``found`` with the ids of ``docs`` in place of ``key_of`` in ``columns``; order among ids is that of the hashes."""
+    if is_whole(docs, id_col):
+        return found
+    names = docs.select(key_of(docs, id_col).alias("__key"), F.col(id_col).alias("__name")).where("__key IS NOT NULL").distinct()
+    order = found.columns
+    for c in columns:
+        found = found.join(names, F.col(c) == F.col("__key"), "left").drop("__key", c).withColumnRenamed("__name", c)
+    return found.select(order)
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of rows that have an id; whatever other columns there are stays behind."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    return docs.select(key_of(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
 
 
 def pack(*arrays: np.ndarray) -> bytes:

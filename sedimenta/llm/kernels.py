@@ -19,7 +19,7 @@ import pyarrow as pa
 #: Bytes of text handled by one NumPy pass; larger only for a single longer document.
 SLICE_BYTES = 1 << 21
 #: Bytes hashed at once, so that 8-byte temporaries stay small for very long documents.
-SPAN = 1 << 20
+SPAN = 1 << 17
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -38,7 +38,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base), np.full(size, inverse)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 1 << 22:
+        if size <= SPAN + 1:
             _POWERS[key] = have
     return have
 

@@ -16,10 +16,17 @@ What keeps this far from quadratic, all of it exact:
   ``size - ceil(threshold * size) + 1`` n-grams in the global order), if the sizes
   are compatible, and if the n-grams that remain from there on can still reach the
   overlap that the threshold asks for.
+* A pair goes only to the fragments in which both of its entities have a segment;
+  pairs of a fragment that has many are spread over several tasks.
 
+Within a fragment, n-grams of few entities give their pairs one by one; those of
+many (large groups of edited copies) are multiplied as blocks of 0-1 matrices.
 Nothing is capped.  Between stages the n-grams travel as packed arrays by
 (batch, shard), 5 bytes each, not as rows.  Two n-grams count as one if they
-fall into one shard and agree in 40 further bits of their hash.
+fall into one shard and agree in 40 further bits of their hash (a shard of 8 MB of
+text has about a million: fewer than one expected false pair in it); two sets are
+one if their 64-bit signatures agree (expected false pairs among n sets:
+n * n / 2**65, so 0.03 at a thousand million).
 """
 
 from __future__ import annotations
@@ -32,13 +39,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import by_shard, decode, encode, fresh, low, pack, pick, ranges, shards_for, small, unpack, whole, written
+from .common import by_name, by_shard, decode, encode, fresh, give_back, key_of, low, named, pack, pick, ranges, shards_for, small, streamed, unpack, whole, written
 
 N = 3
 THRESHOLD = 0.5
-FRAGMENT_RANGES = 2
-#: Ids of one set that ``all_pairs`` joins as one row; larger sets are joined block by block.
-BLOCK = 1024
+#: Shards for which the fullest part of the order is cut once more.
+SHARDS_BY_RANGE = 12
+#: Parts of the order, by half binary logarithms of the frequency.
+LEVELS = 16
+#: Candidate pairs of a fragment that one task counts.
+PAIRS_BY_TASK = 2_000_000
+#: N-grams of at most so many entities give their pairs one by one; others in tiles.
+FEW, TILE = 24, 512
 _SLACK = 1e-9
 
 
@@ -93,7 +105,7 @@ def _scatter(n: int, shards: int):
                 g, firsts, sig, size = _sets(data[o[0] : o[-1]], o - o[0], n)
                 parts.append((g, sig[size > 0], size[size > 0]))
                 held += len(g)
-                if held > 1_500_000:
+                if held > 1_000_000:
                     yield _by_shard(parts, shards, name)
                     parts, held, name = [], 0, name + 1
             if held:
@@ -110,8 +122,8 @@ def _rows(key: str, keys: list[int], batches: list[int], payloads: list[bytes])
 def _by_shard(parts: list[tuple], shards: int, name: int) -> pa.RecordBatch:
     g, sig, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
     doc = np.repeat(np.arange(len(size)), size)
-    shard = (g >> np.uint64(48)) % np.uint64(shards)
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
+    shard = (g >> np.uint64(40)) % np.uint64(shards)
+    order = by_name(shard, shards)
     g, doc, shard = g[order], doc[order], shard[order].astype(np.int64)
     edges = np.searchsorted(shard, np.arange(shards + 1))
     out_s, out_p = [-1 - (name ^ name >> 32) % shards], [pack(sig, size.astype(np.uint32))]
@@ -155,18 +167,30 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return _rows("of", [shard] * len(out_b), out_b, out_p)
 
 
-def _entities(table: pa.Table) -> list[np.ndarray]:
-    """A fragment's segments, one of each entity (an id of several texts may bring an entity twice)."""
-    sig, size, count, g, rest = _segments(table, 5)
+def layout(parts: int) -> np.ndarray:
+    """Number of the first fragment of each level, and of all: fuller (rarer) levels have more."""
+    return np.concatenate([[0], np.cumsum([max(1, parts >> k) for k in range(LEVELS)])])
+
+
+def _entities(table: pa.Table, columns: int) -> list[np.ndarray]:
+    """A fragment's segments (ids, count, then columns by n-gram), one of each entity (an id of several texts may bring an entity twice)."""
+    sig, count, *cols = _segments(table, 2 + columns)
+    count = count.astype(np.int64)
     _, first = np.unique(sig, return_index=True)
     if len(first) < len(sig):
-        at = ranges((np.cumsum(count.astype(np.int64)) - count)[first], count[first])
-        sig, size, count, g, rest = sig[first], size[first], count[first], g[at], rest[at]
-    return [sig, size, count, g, rest]
+        at = ranges((np.cumsum(count) - count)[first], count[first])
+        sig, count, cols = sig[first], count[first], [c.reshape(-1, len(c) // max(int(count.sum()), 1))[at].ravel() for c in cols]
+    return [sig, count, *cols]
 
 
 def _cut(threshold: float, parts: int):
-    """At home: entities that may have a partner, their grams put in the global order and cut into fragments."""
+    """At home: entities that may have a partner, their grams put in the global order and cut into fragments.
+
+    Rows of ``kind`` 0 hold a fragment's segments, of 1 the prefixes in it, of 2 (no
+    fragment) the entities with their sizes and the fragments that they are in.
+    """
+    starts = layout(parts)
+    width = -(-int(starts[-1]) // 8)
 
     def run(table: pa.Table) -> pa.Table:
         docs, grams, levels, ids = [], [], [], None
@@ -178,72 +202,157 @@ def _cut(threshold: float, parts: int):
                 docs.append(np.cumsum(decode(p[0])))
                 grams.append(whole(p[1], 5) | np.uint64(of << 40))
                 levels.append(p[2])
-        if not docs:
-            return pa.table({"frag": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
-        doc, g, level = np.concatenate(docs), np.concatenate(grams), np.concatenate(levels)
-        m = np.bincount(doc, minlength=len(ids))
-        keep = (m >= _ceil(threshold * full))[doc]
-        g, level, doc = g[keep], level[keep], doc[keep]
-        order = np.lexsort((K.mix(g), level, doc))
-        g, level, doc = g[order], level[order], doc[order]
-        firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        rank = np.arange(len(g)) - firsts[doc]
-        rest = m[doc] - rank  # grams from here on that others have too
-        ahead = full[doc] - rest  # of the whole set, grams of one entity only come first in the order
-        prefix = ahead < full[doc] - _ceil(threshold * full[doc]) + 1
-        frag = (level.astype(np.int64) // 2) * parts + ((K.mix(g) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((g, doc, frag))
-        out_f, out_p = [], []
-        f_sorted = frag[order]
-        for f in np.unique(f_sorted):
-            at = order[np.searchsorted(f_sorted, f) : np.searchsorted(f_sorted, f, "right")]
-            d = doc[at]
-            new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            who = d[new]
-            out_f.append(int(f))
-            out_p.append(pack(ids[who], full[who].astype(np.uint32), np.diff(np.r_[new, len(d)]).astype(np.uint32), g[at], np.where(prefix[at], rest[at], 0).astype(np.uint32)))
-        return pa.table({"frag": pa.array(out_f, pa.int32()), "payload": pa.array(out_p, pa.binary())})
+        out_k, out_f, out_p = [], [], []
+        if docs:
+            doc, g, level = np.concatenate(docs).astype(np.int32), K.mix(np.concatenate(grams)), np.concatenate(levels)
+            m = np.bincount(doc, minlength=len(ids))
+            keep = (m >= _ceil(threshold * full))[doc]
+            g, level, doc = g[keep], level[keep], doc[keep]
+            order = np.lexsort((g, level, doc))
+            g, level, doc = g[order], level[order], doc[order]
+            firsts = np.searchsorted(doc, np.arange(len(ids) + 1))
+            rest = m[doc] - (np.arange(len(g)) - firsts[doc])  # grams from here on that others have too
+            ahead = full[doc] - rest  # of the whole set, grams of one entity only come first in the order
+            prefix = ahead < full[doc] - _ceil(threshold * full[doc]) + 1
+            level = np.minimum(level // 2, LEVELS - 1)
+            frag = (starts[level] + ((g >> np.uint64(48)) % np.diff(starts)[level].astype(np.uint64)).astype(np.int64)).astype(np.int32)
+            order = np.lexsort((doc, frag))
+            f_sorted = frag[order]
+            edges = np.flatnonzero(np.r_[True, f_sorted[1:] != f_sorted[:-1]]) if len(order) else np.zeros(0, np.int64)
+            seen = np.zeros((len(ids), width * 8), bool)
+            for lo, hi in zip(edges, np.r_[edges[1:], len(order)]):
+                at, f = order[lo:hi], int(f_sorted[lo])
+                seen[doc[at], f] = True
+                for kind, of in ((0, at), (1, at[prefix[at]])):
+                    if not len(of):
+                        continue
+                    d = doc[of]
+                    new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                    who = d[new]
+                    n = np.diff(np.r_[new, len(d)]).astype(np.uint32)
+                    out_k.append(kind)
+                    out_f.append(f)
+                    out_p.append(pack(ids[who], n, low(g[of], 6)) if kind == 0 else pack(ids[who], n, low(g[of], 6), rest[of].astype(np.uint32), np.repeat(full[who], n).astype(np.uint32)))
+            there = np.flatnonzero(seen.any(1))
+            if len(there):
+                out_k.append(2)
+                out_f.append(-1)
+                out_p.append(pack(ids[there], full[there].astype(np.uint32), np.packbits(seen[there], axis=1).ravel()))
+        return pa.table({"kind": pa.array(out_k, pa.int32()), "frag": pa.array(out_f, pa.int32()), "payload": pa.array(out_p, pa.binary())})
 
     return run
 
 
+def _directory(batches):
+    """Packed directories to rows (sig, size, in_frags)."""
+    for batch in batches:
+        for p in batch.column("payload"):
+            ids, size, seen = unpack(p.as_buffer())
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(seen) // len(ids)), len(ids), [None, pa.py_buffer(seen.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(size.astype(np.int32)), bits.cast(pa.binary())], ["sig", "size", "in_frags"])
+
+
+def _spread(batches):
+    """Pairs to one row in each fragment that both are in."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1 << 14):
+            part = batch.slice(lo, 1 << 14)
+            if not part.num_rows:
+                continue
+            a, b = (K.buffers(part.column(c))[0].reshape(part.num_rows, -1) for c in ("fa", "fb"))
+            pair, frag = np.nonzero(np.unpackbits(a & b, axis=1))
+            cols = [part.column(c).take(pa.array(pair)) for c in ("a", "b", "size_a", "size_b")]
+            yield pa.RecordBatch.from_arrays([pa.array(frag.astype(np.int32)), *cols], ["frag", "a", "b", "size_a", "size_b"])
+
+
+def _reach(threshold: float, s: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The largest partner of a set of size ``s`` that ``rest`` common n-grams allow."""
+    return np.floor(rest / (threshold / (1 + threshold)) + _SLACK).astype(np.int64) - s
+
+
+def _one_by_one(g, doc, s, far, threshold: float, found) -> None:
+    """Pairs of n-grams of few entities, positions included; arrays are ordered by (g, s)."""
+    span = int(s.max()) + 1
+    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    rank = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
+    ends = np.r_[edge[1:], len(g)][rank]
+    # partners of the smaller one: later in the order, of at most min(far, s / threshold)
+    top = np.minimum(np.minimum(far, np.floor(s / threshold + _SLACK).astype(np.int64)), span - 1)
+    last = np.minimum(np.searchsorted(rank * span + s, rank * span + top, "right"), ends)
+    n = np.where(far >= s, np.maximum(last - np.arange(len(g)) - 1, 0), 0)
+    for lo, hi in _chunks(n, 500_000):
+        x = np.repeat(np.arange(lo, hi), n[lo:hi])
+        y = ranges(np.arange(lo, hi) + 1, n[lo:hi])
+        fit = far[y] >= s[x]
+        found(doc[x[fit]], doc[y[fit]])
+
+
+def _in_tiles(g, doc, size, threshold: float, found) -> None:
+    """Pairs that share an n-gram of many entities: products of tiles of the entity-by-n-gram matrix."""
+    who, row = np.unique(doc, return_inverse=True)
+    grams, col = np.unique(g, return_inverse=True)
+    # alike entities stand together: by the least of their n-grams
+    least = np.full(len(who), len(grams), np.int64)
+    np.minimum.at(least, row, col)
+    order = np.lexsort((who, least))
+    place = np.empty(len(who), np.int64)
+    place[order] = np.arange(len(who))
+    who, row = who[order], place[row]
+    at = np.lexsort((col, row))
+    row, col = row[at], col[at]
+    cuts = np.searchsorted(row, np.arange(0, len(who) + TILE, TILE))
+    tiles = []
+    for k in range(len(cuts) - 1):
+        used, local = np.unique(col[cuts[k] : cuts[k + 1]], return_inverse=True)
+        m = np.zeros((min(TILE, len(who) - k * TILE), len(used)), np.float32)
+        m[row[cuts[k] : cuts[k + 1]] - k * TILE, local] = 1
+        tiles.append((used, m))
+    sizes = size[who].astype(np.int64)
+    for i, (gi, mi) in enumerate(tiles):
+        for j in range(i, len(tiles)):
+            gj, mj = tiles[j]
+            both, pi, pj = np.intersect1d(gi, gj, assume_unique=True, return_indices=True)
+            if not len(both):
+                continue
+            x, y = np.nonzero(mi[:, pi] @ mj[:, pj].T > 0)
+            x, y = x + i * TILE, y + j * TILE
+            a, b = sizes[x], sizes[y]
+            fit = (x < y) & (np.minimum(a, b) >= _ceil(threshold * np.maximum(a, b)))
+            found(who[x[fit]], who[y[fit]])
+
+
 def _candidates(threshold: float):
     """In a fragment: pairs that share a gram of both prefixes and pass the size and position bounds."""
-    c = threshold / (1 + threshold)
 
     def run(table: pa.Table) -> pa.Table:
-        sig, size, count, g, rest = _entities(table)
+        sig, count, g, rest, s = _entities(table, 3)
+        g, rest, s = whole(g, 6), rest.astype(np.int64), s.astype(np.int64)
         doc = np.repeat(np.arange(len(sig)), count)
-        use = rest > 0
-        g, doc, rest = g[use], doc[use], rest[use].astype(np.int64)
-        s = size.astype(np.int64)[doc]
-        far = np.floor(rest / c + _SLACK).astype(np.int64) - s  # the largest partner that the rest allows
+        size = np.zeros(len(sig), np.int64)
+        size[doc] = s
+        far = _reach(threshold, s, rest)
         ok = far >= _ceil(threshold * s)
         g, doc, s, far = g[ok], doc[ok], s[ok], far[ok]
-        order = np.lexsort((doc, s, g))
+        order = np.lexsort((s, g))
         g, doc, s, far = g[order], doc[order], s[order], far[order]
-        edge = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else np.zeros(1, np.int64)
-        many = np.flatnonzero(np.diff(edge) > 1)
-        found, held, all_found = [], 0, []
-        for a, b in zip(edge[many], edge[many + 1]):
-            small = a + np.flatnonzero(far[a:b] >= s[a:b])  # the smaller one of a pair
-            if not len(small):
-                continue
-            # partners y of x in small: later in the order, s_y <= min(far_x, s_x / threshold), far_y >= s_x
-            top = np.minimum(far[small], np.floor(s[small] / threshold + _SLACK).astype(np.int64))
-            last = a + np.searchsorted(s[a:b], top, "right")
-            n = np.maximum(last - small - 1, 0)
-            for lo, hi in _chunks(n, 2_000_000):
-                x = np.repeat(small[lo:hi], n[lo:hi])
-                y = ranges(small[lo:hi] + 1, n[lo:hi])
-                fit = far[y] >= s[x]
-                x, y = doc[x[fit]], doc[y[fit]]
-                found.append(np.minimum(x, y) * len(sig) + np.maximum(x, y))
-                held += len(x)
-                if held > 3_000_000:
-                    all_found.append(np.unique(np.concatenate(found)))
-                    found, held = [], 0
-        pairs = np.unique(np.concatenate(all_found + found)) if all_found or found else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+        df = np.repeat(np.diff(np.r_[edge, len(g)]), np.diff(np.r_[edge, len(g)])) if len(g) else edge
+        codes, held, done = [], [0], []
+
+        def found(x: np.ndarray, y: np.ndarray) -> None:
+            codes.append(np.minimum(x, y) * len(sig) + np.maximum(x, y))
+            held[0] += len(x)
+            if held[0] > 1_500_000:
+                done.append(np.unique(np.concatenate(codes)))
+                codes.clear()
+                held[0] = 0
+
+        few = (df > 1) & (df <= FEW)
+        if few.any():
+            _one_by_one(g[few], doc[few], s[few], far[few], threshold, found)
+        if (df > FEW).any():
+            _in_tiles(g[df > FEW], doc[df > FEW], size, threshold, found)
+        pairs = np.unique(np.concatenate(done + codes)) if done or codes else np.zeros(0, np.int64)
         a, b = sig[pairs // max(len(sig), 1)].view(np.int64), sig[pairs % max(len(sig), 1)].view(np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -261,120 +370,137 @@ def _chunks(n: np.ndarray, most: int):
         lo = hi
 
 
+_PART = "a long, b long, size_a int, size_b int, part int"
+
+
 def _overlaps(key, pairs: pa.Table, table: pa.Table) -> pa.Table:
     """In a fragment: the partial overlap of each candidate pair."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
+    empty = pa.table({c: pa.array([], pa.int64() if c in "ab" else pa.int32()) for c in ("a", "b", "size_a", "size_b", "part")})
     if not pairs.num_rows or not table.num_rows:
         return empty
-    sig, size, count, g, _ = _entities(table)
+    sig, count, g = _entities(table, 1)
+    g = whole(g, 6)
     order = np.argsort(sig, kind="stable")
-    sig, count, starts = sig[order], count[order].astype(np.int64), (np.cumsum(count.astype(np.int64)) - count)[order]
+    sig, count, starts = sig[order], count[order], (np.cumsum(count) - count)[order]
     a, b = (pairs.column(c).to_numpy().view(np.uint64) for c in "ab")
     ia, ib = (np.minimum(np.searchsorted(sig, x), len(sig) - 1) for x in (a, b))
-    both = (sig[ia] == a) & (sig[ib] == b)
-    a, b, ia, ib = a[both], b[both], ia[both], ib[both]
-    if not len(a):
-        return empty
     swap = count[ia] > count[ib]
     ia, ib = np.where(swap, ib, ia), np.where(swap, ia, ib)
     doc = np.repeat(np.arange(len(sig)), count)
     salt = K.mix(np.arange(1, len(sig) + 1, dtype=np.uint64))
     keys = np.sort(g[ranges(starts, count)] ^ salt[doc])
     part = np.zeros(len(a), np.int32)
-    for lo, hi in _chunks(count[ia], 2_000_000):
+    for lo, hi in _chunks(count[ia], 1_000_000):
         at = ranges(starts[ia[lo:hi]], count[ia[lo:hi]])
         pair = np.repeat(np.arange(lo, hi), count[ia[lo:hi]])
         want = g[at] ^ salt[ib[pair]]
         hit = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
         part[lo:hi] += np.bincount(pair[hit] - lo, minlength=hi - lo).astype(np.int32)
-    some = part > 0
-    return pa.table({"a": a[some].view(np.int64), "b": b[some].view(np.int64), "part": part[some]})
-
-
-def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fragment_ranges: int = FRAGMENT_RANGES) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): ``members(id, sig, size)`` and the pairs ``(a, b, common)`` of signatures that reach the threshold."""
+    some = pa.array(np.flatnonzero(part > 0))
+    out = pairs.select(["a", "b", "size_a", "size_b"]).append_column("part", pa.array(part)).take(some)
+    give_back()
+    return out
+
+
+def _counted(candidates: DataFrame, cut: DataFrame) -> DataFrame:
+    """``candidates(a, b)`` with the sizes of both and their common n-grams, counted fragment by fragment and summed."""
+    who = streamed(cut.where("kind = 2").select("payload"), _directory, "sig long, size int, in_frags binary")
+    who = who.groupBy("sig").agg(F.first("size").alias("size"), F.first("in_frags").alias("in_frags"))
+    pairs = candidates
+    for c in "ab":
+        pairs = pairs.join(who.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("in_frags").alias(f"f{c}")), c)
+    spread = written(streamed(pairs, _spread, "frag int, a long, b long, size_a int, size_b int"), "spread")
+    tasks = spread.groupBy(F.col("frag").alias("of")).agg(F.ceil(F.count("*") / PAIRS_BY_TASK).cast("int").alias("tasks")).where("tasks > 1")
+    tasks = F.broadcast(written(tasks, "tasks"))  # a row for some fragments at most
+    salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("tasks", F.lit(1)).cast("long")).cast("int")
+    left = spread.join(tasks, F.col("frag") == F.col("of"), "left").select("frag", salt.alias("task"), "a", "b", "size_a", "size_b")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))
+    right = cut.where("kind = 0").join(tasks, F.col("frag") == F.col("of"), "left").select("frag", every.alias("task"), "payload")
+    parts = left.groupBy("frag", "task").cogroup(right.groupBy("frag", "task")).applyInArrow(_overlaps, _PART)
+    return parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").cast("long").alias("common"))
+
+
+def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): ``members(id, sig, size)`` and the pairs ``(a, b, common, size_a, size_b)`` of signatures that reach the threshold."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     base = pick(docs, id_col, text_col)
     shards = shards_for(docs)
-    members = written(base.mapInArrow(_members(n), "id long, sig long, size long"), "sets").distinct()
+    members = written(streamed(base, _members(n), "id long, sig long, size long"), "sets").distinct()
     # copies of a set other than the smallest id don't take part; an id of several sets stays
     first = F.min("id").over(W.partitionBy("sig"))
     spare = members.withColumn("spare", (F.col("id") > first).cast("int")).groupBy("id").agg(F.min("spare").alias("spare")).where("spare = 1").select(F.col("id").alias("__i"))
     reps = base.join(small(written(spare, "spare")), F.col("id") == F.col("__i"), "left_anti")
-    packed = reps.mapInArrow(_scatter(n, shards), "shard int, batch long, payload binary")
+    packed = streamed(reps, _scatter(n, shards), "shard int, batch long, payload binary")
     home = by_shard(packed, _frequencies, "of int, batch long, payload binary")
-    parts = max(fragment_ranges, shards // 64)
-    cut = written(by_shard(home, _cut(threshold, parts), "frag int, payload binary", "batch"), "segments")
-    candidates = by_shard(cut, _candidates(threshold), "a long, b long", "frag").distinct()
-    frags = cut.select(F.col("frag").alias("in_frag")).distinct()
-    spread = candidates.crossJoin(F.broadcast(frags))  # at most 16 halves of binary logarithms times the ranges
-    parts = spread.groupBy("in_frag").cogroup(cut.groupBy("frag")).applyInArrow(_overlaps, "a long, b long, part int")
-    pairs = parts.groupBy("a", "b").agg(F.sum("part").cast("long").alias("common"))
-    sizes = members.groupBy("sig").agg(F.first("size").alias("size"))
-    sa, sb = sizes.select(F.col("sig").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("sig").alias("b"), F.col("size").alias("size_b"))
-    pairs = pairs.join(sa, "a").join(sb, "b")
+    parts = ranges_ or max(2, -(-shards // SHARDS_BY_RANGE))
+    cut = written(by_shard(home, _cut(threshold, parts), "kind int, frag int, payload binary", "batch"), "segments")
+    candidates = by_shard(cut.where("kind = 1"), _candidates(threshold), "a long, b long", "frag").distinct()
+    pairs = _counted(candidates, cut)
     pairs = pairs.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - _SLACK)
     return members, written(pairs.select("a", "b", "common", "size_a", "size_b"), "pairs")
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fragment_ranges: int = FRAGMENT_RANGES) -> DataFrame:
-    """Pairs of documents whose word n-gram sets have a Jaccard index of ``threshold`` or more.
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> DataFrame:
+    """The join by document: ``doc_id, class_id, n_links``, one row for each id.
 
-    Returns ``doc_a < doc_b, common, jaccard``.  Documents of one n-gram set are
-    joined to the smallest id among them (its representative), and each document
-    of a set to the representative of each set that it is near to: every pair of
-    the full join follows from these, and their number stays linear in the number
-    of copies.
+    ``n_links`` is the number of other documents whose word n-gram set has a Jaccard
+    index of ``threshold`` or more with the document's, copies included: the row count
+    of the full join around the document.  ``class_id`` is the smallest id of the
+    documents that links lead to, directly or over others.  The pairs themselves are
+    those of ``set_pairs``; neither grows with the square of the number of copies.
 
-    Null and empty texts, and texts of white space, have no n-gram and no pair.  A
-    text of fewer than ``n`` words is one n-gram.  Rows without id are left out;
-    equal rows count once; a row pair of one id is no pair.  Very long texts are
-    handled whole.  An empty table gives an empty result.
+    Null and empty texts, and texts of white space, have no n-gram: no link, a class of
+    their own.  A text of fewer than ``n`` words is one n-gram.  Rows without id are
+    left out; equal rows count once; an id of several texts has the links of all of
+    them, each other document once.  Very long texts are handled whole.  An empty
+    table gives an empty result.  Ids that aren't whole numbers stand in the order of
+    their hashes.
     """
-    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, fragment_ranges)
-    reps = members.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size"))
-    near = pairs.select("a", "b", "common", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", "jaccard"))
-    near = near.join(members.select(F.col("sig").alias("a"), F.col("id").alias("x")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
-    same = members.join(reps.drop("size"), "sig").select(F.col("id").alias("x"), F.col("rep").alias("y"), F.col("size").alias("common"), F.lit(1.0).alias("jaccard"))
-    both = near.select("x", "y", "common", "jaccard").unionByName(same).where("x <> y")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", F.round("jaccard", 6).alias("jaccard")).groupBy("doc_a", "doc_b").agg(F.max("common").alias("common"), F.max("jaccard").alias("jaccard"))
-
-
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", fragment_ranges: int = FRAGMENT_RANGES, block: int = BLOCK) -> DataFrame:
-    """Every pair that ``jaccard_join`` stands for, with its columns: each member of a set with each other one, and with each member of each near set.
-
-    The result is quadratic in the number of copies, and only the result: ids travel
-    as arrays of about ``block``, joined by (set, block), so that the pairs of a large
-    set are spread over tasks and are made after the last exchange.  Pairs of an id of
-    several sets can come more than once; only those are grouped.
+    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, ranges_)
+    sets = members.groupBy("id").agg(F.count("*").alias("k"))
+    odd = members.join(small(written(sets.where("k > 1").select(F.col("id").alias("__i")), "several")), F.col("id") == F.col("__i")).select("id", "sig")
+    odd = written(odd, "odd")  # ids of several sets
+    regular = members.join(small(odd.select(F.col("id").alias("__i")).distinct()), F.col("id") == F.col("__i"), "left_anti")
+    copies = regular.groupBy("sig").agg(F.count("*").alias("copies"))
+    own = members.select(F.col("sig").alias("s"), F.col("sig").alias("t")).distinct()
+    near = pairs.select(F.col("a").alias("s"), F.col("b").alias("t")).unionByName(pairs.select(F.col("b").alias("s"), F.col("a").alias("t"))).unionByName(own)
+    per = near.join(copies.withColumnRenamed("sig", "t"), "t").groupBy("s").agg(F.sum("copies").alias("of_one"))
+    strange = near.join(odd.select(F.col("sig").alias("t"), F.col("id").alias("z")), "t").select("s", "z").distinct()
+    links = regular.join(per.withColumnRenamed("s", "sig"), "sig", "left").join(strange.groupBy("s").agg(F.count("*").alias("of_more")).withColumnRenamed("s", "sig"), "sig", "left")
+    links = links.select("id", (F.coalesce("of_one", F.lit(0)) + F.coalesce("of_more", F.lit(0)) - 1).alias("n"))
+    mine = odd.withColumnRenamed("sig", "s")
+    reached = mine.join(near, "s").select("id", "t").distinct().join(copies.withColumnRenamed("sig", "t"), "t").groupBy("id").agg(F.sum("copies").alias("n"))
+    others = mine.join(strange, "s").where("z <> id").select("id", "z").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    links = links.unionByName(reached.select("id", "n")).unionByName(others).groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
+    out = pick(docs, id_col, text_col).select("id").distinct().join(links, "id", "left").join(_roots(members, pairs), "id", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return named(out, docs, id_col, "doc_id", "class_id")
+
+
+def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs): ``doc_id, set_id`` and ``set_a < set_b, common, jaccard``; a set is named by its smallest id.
+
+    Documents of one ``set_id`` have the same n-grams; two documents are a pair of the
+    join if their sets are one or a pair.
     """
-    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, fragment_ranges)
-    sets = members.groupBy("sig").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
-    several = members.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("id").alias("__i"))
-    placed = members.drop("size").join(sets, "sig").join(small(written(several, "several")), F.col("id") == F.col("__i"), "left")
-    # odd blocks hold the ids of several sets
-    place = F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / block)) * 2 + F.col("__i").isNotNull().cast("long")
-    blocks = written(placed.groupBy("sig", place.alias("at")).agg(F.collect_list("id").alias("ids")), "blocks")
-    # a set has the one block 0, or is listed
-    listed = small(written(blocks.groupBy("sig").agg(F.sort_array(F.collect_list("at")).alias("blocks")).where("size(blocks) > 1 OR blocks[0] <> 0"), "listed"))
-    near = pairs.select("a", "b", "common", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    same = sets.where("copies > 1").select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.col("size").alias("common"), F.lit(1.0).alias("jaccard"))
-    both = near.unionByName(same)
-    for of, at in (("a", "i"), ("b", "j")):
-        both = both.join(listed.select(F.col("sig").alias(of), F.col("blocks").alias("of")), of, "left").withColumn(at, F.explode(F.coalesce("of", F.array(F.lit(0).cast("long"))))).drop("of")
-    both = both.where("a <> b OR i <= j")
-
-    def expanded(some: DataFrame) -> DataFrame:
-        for of, at, ids in (("a", "i", "xs"), ("b", "j", "ys")):
-            some = some.join(blocks.select(F.col("sig").alias(of), F.col("at").alias(at), F.col("ids").alias(ids)), [of, at])
-        some = some.withColumn("x", F.explode("xs")).drop("xs").withColumn("y", F.explode("ys")).where("x <> y AND (a <> b OR i < j OR x < y)")
-        return some.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", F.round("jaccard", 6).alias("jaccard"))
-
-    odd = "i % 2 = 1 OR j % 2 = 1"
-    again = expanded(both.where(odd)).groupBy("doc_a", "doc_b").agg(F.max("common").alias("common"), F.max("jaccard").alias("jaccard"))
-    return expanded(both.where(f"NOT ({odd})")).unionByName(again)
+    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, ranges_)
+    reps = members.groupBy("sig").agg(F.min("id").alias("rep"))
+    a, b = reps.select(F.col("sig").alias("a"), F.col("rep").alias("x")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("y"))
+    jaccard = F.round(F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 6).alias("jaccard")
+    near = pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("set_a"), F.greatest("x", "y").alias("set_b"), "common", jaccard)
+    return named(members.join(reps, "sig").select(F.col("id").alias("doc_id"), F.col("rep").alias("set_id")), docs, id_col, "doc_id", "set_id"), named(near, docs, id_col, "set_a", "set_b")
+
+
+def _roots(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root) of every document with words: the smallest id of its connected component."""
+    reps = members.groupBy("sig").agg(F.min("id").alias("rep"))
+    a, b = reps.select(F.col("sig").alias("a"), F.col("rep").alias("u")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("v"))
+    of = members.join(reps, "sig").select("id", "rep")
+    several = of.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select(F.col("id").alias("u"))
+    bridges = of.select(F.col("id").alias("u"), F.col("rep").alias("v")).join(several, "u")  # an id of several sets makes one class of them
+    root = components(pairs.join(a, "a").join(b, "b").select("u", "v").unionByName(bridges))
+    return of.join(root, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -399,50 +525,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, of the smallest id, of each group of near duplicates; columns as they are.
+    """``docs`` with one document, of the smallest id, of each class of ``classes``; columns as they are.
 
-    A group is a connected component of the pairs of ``jaccard_join``.  Documents
-    without a pair stay, so do rows without id, without text or words.  Rows that share
-    an id stay or go together: they go if each of their texts has a group of a smaller id.
+    Documents without a link stay, so do rows without id, without text or words.  Rows
+    that share an id stay or go together.
     """
     (name,) = fresh(docs, "id")
     members, pairs = entity_pairs(docs, n, threshold, id_col, text_col)
-    reps = members.groupBy("sig").agg(F.min("id").alias("rep"))
-    a, b = reps.select(F.col("sig").alias("a"), F.col("rep").alias("u")), reps.select(F.col("sig").alias("b"), F.col("rep").alias("v"))
-    roots = components(pairs.join(a, "a").join(b, "b").select("u", "v"))
-    of = members.join(reps, "sig").join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("root"))
-    gone = of.groupBy("id").agg(F.max("root").alias("root")).where("root < id").select(F.col("id").alias(name))
-    key = F.col(id_col).cast("long")
-    return docs.join(small(written(gone, "near-duplicates")), key == F.col(name), "left_anti")
+    gone = _roots(members, pairs).where("root < id").select(F.col("id").alias(name))
+    return docs.join(small(written(gone, "near-duplicates")), key_of(docs, id_col) == F.col(name), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """The same result in DuckDB's SQL, by a plain self-join of the n-gram sets."""
-    return f"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
-              ELSE list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS gram FROM w WHERE len(ws) > 0),
-    s AS (SELECT doc_id, count(*) AS size, string_agg(gram, '\\n' ORDER BY gram) AS grams FROM g GROUP BY 1),
-    e AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY grams) AS rep FROM s),
-    r AS (SELECT g.* FROM g JOIN e USING (doc_id) WHERE e.rep = doc_id),
-    o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM r x JOIN r y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
-    p AS (SELECT a, b, common, common / (ea.size + eb.size - common) AS jaccard FROM o JOIN e ea ON ea.doc_id = a JOIN e eb ON eb.doc_id = b
-          WHERE common >= {threshold} * (ea.size + eb.size - common) - 1e-9),
-    q AS (SELECT doc_id AS x, rep AS y, size AS common, 1.0 AS jaccard FROM e WHERE rep <> doc_id
-          UNION ALL SELECT m.doc_id, b, common, jaccard FROM p JOIN e m ON m.rep = a
-          UNION ALL SELECT m.doc_id, a, common, jaccard FROM p JOIN e m ON m.rep = b)
-    SELECT least(x, y) AS doc_a, greatest(x, y) AS doc_b, max(common) AS common, max(round(jaccard, 6)) AS jaccard FROM q GROUP BY 1, 2
-    """
-
-
-def all_oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """``all_pairs`` in DuckDB's SQL, by a plain self-join of all documents' n-gram sets."""
+    """``classes`` in DuckDB's SQL, by a plain self-join of all documents' n-gram sets."""
     return f"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
               ELSE list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS gram FROM w WHERE len(ws) > 0),
     s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY 1),
-    o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
-    SELECT doc_a, doc_b, common, round(common / (a.size + b.size - common), 6) AS jaccard FROM o JOIN s a ON a.doc_id = doc_a JOIN s b ON b.doc_id = doc_b
-    WHERE common >= {threshold} * (a.size + b.size - common) - 1e-9
+    o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    p AS (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= {threshold} * (x.size + y.size - common) - 1e-9),
+    c AS (SELECT DISTINCT doc_id, doc_id AS reached FROM documents WHERE doc_id IS NOT NULL UNION SELECT c.doc_id, p.b FROM c JOIN p ON c.reached = p.a),
+    l AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+    SELECT doc_id, min(reached) AS class_id, coalesce(any_value(n), 0) AS n_links FROM c LEFT JOIN l ON a = doc_id GROUP BY 1
     """

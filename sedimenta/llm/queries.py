@@ -29,8 +29,7 @@ query("op3_lm_scoring", brown_lm.perplexities)
 QUERIES["op4_quality_classifier"] = lambda spark, sf_dir: quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 query("op5_best_fit_packing", packing.packed)
 query("op6_mixing", mixing.mixed)
-query("op7_ngram_jaccard_join", ngram_jaccard.jaccard_join, ngram_jaccard.oracle())
-query("op7_ngram_jaccard_all_pairs", ngram_jaccard.all_pairs, ngram_jaccard.all_oracle())
+query("op7_ngram_jaccard_join", ngram_jaccard.classes, ngram_jaccard.oracle())
 query("op8_exact_dedup", exact_dedup.copies, exact_dedup.ORACLE)
 query("op9_quality_rules", robust_rules.judged)
 query("op10_warc", warc.round_trip, warc.ORACLE, "pages")

@@ -51,17 +51,24 @@ def gram_set(t, n):
 
 
 def brute_pairs(rows, n, threshold):
-    sets = defaultdict(set)
-    for r in rows:
-        if r["doc_id"] is not None and gram_set(r["text"], n):
-            sets[gram_set(r["text"], n)].add(r["doc_id"])
-    out = set()
-    for s, ids in sets.items():
-        out |= {(min(ids), i) for i in ids if i != min(ids)}
-    for (s, i), (t, j) in itertools.combinations(sets.items(), 2):
-        if len(s & t) >= threshold * len(s | t) - 1e-9:
-            out |= {tuple(sorted((x, min(j)))) for x in i} | {tuple(sorted((min(i), y))) for y in j}
-    return {p for p in out if p[0] != p[1]}
+    """All pairs of ids by every pair of texts."""
+    sets = [(r["doc_id"], gram_set(r["text"], n)) for r in rows if r["doc_id"] is not None and gram_set(r["text"], n)]
+    return {tuple(sorted((i, j))) for (i, s), (j, t) in itertools.combinations(sets, 2) if i != j and len(s & t) >= threshold * len(s | t) - 1e-9}
+
+
+def brute_classes(rows, n, threshold):
+    """doc_id to (class, links)."""
+    pairs, ids = brute_pairs(rows, n, threshold), {r["doc_id"] for r in rows if r["doc_id"] is not None}
+    root = {i: i for i in ids}
+    while True:
+        new = dict(root)
+        for i, j in pairs:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == root:
+            break
+        root = new
+    links = Counter(x for p in pairs for x in p)
+    return {i: (root[i], links[i]) for i in ids}
 
 
 def brute_spans(rows, n):
@@ -174,42 +181,78 @@ def test_spans_of_hostile_rows(hostile, empty):
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
+def classes_of(df, *more, **named):
+    got = [tuple(r) for r in ngram_jaccard.classes(df, *more, **named).collect()]
+    assert len(got) == len({r[0] for r in got})
+    return {i: (c, k) for i, c, k in got}
+
+
+@pytest.mark.parametrize("few", [0, 24, 10**6])
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-def test_pairs_are_those_of_brute_force(spark, threshold):
-    d = near_corpus(spark, 3)
-    got = {(r.doc_a, r.doc_b) for r in ngram_jaccard.jaccard_join(d, 2, threshold).collect()}
-    assert got == brute_pairs(d.collect(), 2, threshold)
+def test_pairs_are_those_of_brute_force(spark, monkeypatch, threshold, few):
+    import pandas as pd
 
+    d = near_corpus(spark, 3)
+    rows = d.collect()
+    base = [{"id": r.doc_id, "text": r.text} for r in rows]
+    ids = {r.doc_id: gram_set(r.text, 2) for r in rows}
+    if few == 24:
+        assert classes_of(d, 2, threshold) == brute_classes(rows, 2, threshold)
+    # the fragment's own code, in this process, with both ways to find pairs
+    monkeypatch.setattr(ngram_jaccard, "FEW", few)
+    monkeypatch.setattr(ngram_jaccard, "TILE", 16)
+    import pyarrow as pa
 
-def test_pairs_of_hostile_rows(hostile, empty):
-    got = {(r.doc_a, r.doc_b) for r in ngram_jaccard.jaccard_join(hostile).collect()}
-    assert got == brute_pairs(hostile.collect(), 3, 0.5) and (0, 1) in got
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame(base)[["id", "text"]], preserve_index=False)
+    members = pa.Table.from_batches(list(ngram_jaccard._members(2)([batch]))).to_pandas()
+    reps = members.groupby("sig").id.min()
+    keep = batch.filter(pa.array([i in set(reps) for i in batch.column("id").to_pylist()]))
+    data, offsets = kernels.buffers(keep.column("text"))
+    g, firsts, sig, size = ngram_jaccard._sets(data, offsets, 2)
+    home = [ngram_jaccard._rows("of", [-1], [0], [ngram_jaccard.pack(sig, size.astype(np.uint32))])]
+    packed = pa.Table.from_batches([ngram_jaccard._by_shard([(g, sig, size)], 4, 0)])
+    for k in range(4):
+        part = packed.take(pa.array([i for i, s in enumerate(packed.column("shard").to_pylist()) if s == k], pa.int64()))
+        if part.num_rows:
+            home.append(ngram_jaccard._frequencies(part))
+    cut = ngram_jaccard._cut(threshold, 2)(pa.concat_tables(home))
+    kinds, frags = cut.column("kind").to_pylist(), cut.column("frag").to_pylist()
+    found = set()
+    for f in {f for f, k in zip(frags, kinds) if k == 1}:
+        t = ngram_jaccard._candidates(threshold)(cut.take(pa.array([i for i in range(cut.num_rows) if kinds[i] == 1 and frags[i] == f])))
+        found |= set(zip(t.column("a").to_pylist(), t.column("b").to_pylist()))
+    name = {int(s): i for s, i in reps.items()}
+    want = {frozenset((name[a], name[b])) for a in name for b in name if a < b and len(ids[name[a]] & ids[name[b]]) >= threshold * len(ids[name[a]] | ids[name[b]]) - 1e-9}
+    assert want <= {frozenset((name[a], name[b])) for a, b in found}
+
+
+def test_classes_of_hostile_rows(spark, hostile, empty):
+    assert classes_of(hostile) == brute_classes(hostile.collect(), 3, 0.5)
     kept = ngram_jaccard.one_of_each(hostile)
     assert kept.columns == hostile.columns and kept.where("doc_id IS NULL").count() == 2 and {r.doc_id for r in kept.collect()} >= {0, 4, 6, 8, 12}
-    assert ngram_jaccard.jaccard_join(empty).count() == 0 and ngram_jaccard.one_of_each(empty).count() == 0
-
-
-def all_brute_pairs(rows, n, threshold):
-    sets = [(r["doc_id"], gram_set(r["text"], n)) for r in rows if r["doc_id"] is not None and gram_set(r["text"], n)]
-    return {tuple(sorted((i, j))) for (i, s), (j, t) in itertools.combinations(sets, 2) if i != j and len(s & t) >= threshold * len(s | t) - 1e-9}
+    assert ngram_jaccard.classes(empty).count() == 0 and ngram_jaccard.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 1024])
-def test_all_pairs_are_those_of_unreduced_brute_force(spark, hostile, block):
+def test_links_of_copies_and_of_ids_of_several_texts(spark):
     rng = random.Random(8)
     a = [f"w{rng.randrange(10**6)}" for _ in range(40)]
     near = [" ".join(a[:k] + ["z"] + a[k + 1 :]) for k in (0, 39)]
     texts = [" ".join(a)] * 9 + [near[0]] * 7 + [near[1]] * 3 + [words(rng, 30)] * 5 + [words(rng, 30)]
-    rows = [(i * 7 % 25, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, near[1], "en", "s", 0), (4, words(rng, 30), "en", "s", 0)]
-    for d in (spark.createDataFrame(rows, DOCS), hostile):
-        got = [(r.doc_a, r.doc_b) for r in ngram_jaccard.all_pairs(d, block=block).collect()]
-        assert len(got) == len(set(got)) and set(got) == all_brute_pairs(d.collect(), 3, 0.5)
-        reduced = {(r.doc_a, r.doc_b) for r in ngram_jaccard.jaccard_join(d).collect()}
-        assert set(got) > reduced or d is hostile and set(got) == reduced
-
-
-def test_all_pairs_of_no_rows(empty):
-    assert ngram_jaccard.all_pairs(empty).count() == 0
+    rows = [(i * 7 % 25, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, near[1], "en", "s", 0), (4, words(rng, 30), "en", "s", 0), (77, texts[-1], "en", "s", 0), (77, texts[0], "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    assert classes_of(d) == brute_classes(d.collect(), 3, 0.5)
+    member, pairs = ngram_jaccard.set_pairs(d)
+    of = {(r.doc_id, r.set_id) for r in member.collect()}
+    linked = {tuple(sorted((i, j))) for i, s in of for j, t in of if s == t and i != j}
+    near = {(r.set_a, r.set_b) for r in pairs.collect()}
+    linked |= {tuple(sorted((i, j))) for i, s in of for j, t in of if (s, t) in near and i != j}
+    assert linked == brute_pairs(d.collect(), 3, 0.5)
+
+
+def test_pairs_of_a_full_fragment_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "PAIRS_BY_TASK", 20)
+    d = near_corpus(spark, 5)
+    assert classes_of(d, 2, 0.4) == brute_classes(d.collect(), 2, 0.4)
 
 
 # ------------------------------------------------------------------ 3 language model
