@@ -323,31 +323,91 @@ def test_moves_of_several_shards_raise_the_likelihood():
     assert dropped
 
 
-def test_model_counts_and_scores(spark):
+def test_insertion_is_the_best_of_all_classes():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        n, r, c = rng.poisson(3.0, (6, 6)), rng.poisson(1.5, (1, 6)), rng.poisson(1.5, (1, 6))
+        like = []
+        for k in range(4):
+            m = n.astype(float)
+            m[k] += r[0]
+            m[:, k] += c[0]
+            # the neighbours' margins are the same whatever the class
+            rows, cols = n.sum(1).astype(float), n.sum(0).astype(float)
+            rows[k] += r.sum()
+            cols[k] += c.sum()
+            like.append(brown_lm._xlogx(m).sum() - brown_lm._xlogx(rows).sum() - brown_lm._xlogx(cols).sum())
+        assert like[int(brown_lm.inserted(r, c, n)[0])] == pytest.approx(max(like))
+
+
+def brute_scores(texts, core, classes, blend=brown_lm.BLEND):
+    """Log-probabilities by dictionaries, from the core's classes alone."""
+    import pyarrow as pa
+
+    flat = Counter(w for t in texts for w in tokens(t))
+    named = {w: int(core.vocab.ids(kernels.words(*kernels.buffers(pa.array([w])))[0])[0]) for w in flat}
+    cls = {w: int(core.cls[i]) if i < core.vocab.size else classes for w, i in named.items()}
+    rows = {}
+    for w, i in named.items():
+        if i == core.vocab.size and flat[w] > 1:
+            after, before = np.zeros((1, classes + 2), int), np.zeros((1, classes + 2), int)
+            for t in texts:
+                seq = tokens(t)
+                for k, x in enumerate(seq):
+                    if x == w:
+                        before[0, core.cls[named[seq[k - 1]]] if k else classes + 1] += 1
+                        if k + 1 < len(seq):
+                            after[0, core.cls[named[seq[k + 1]]]] += 1
+            rows[w] = int(brown_lm.inserted(after, before, core.counts)[0])
+    cls |= rows
+    big, into = Counter(), Counter()
+    for t in texts:
+        seq = [classes + 1] + [cls[w] for w in tokens(t)]
+        big.update(zip(seq, seq[1:]))
+        into.update(seq[1:])
+    share = {c: (into[c] + 1) / (sum(into.values()) + classes + 1) for c in range(classes + 1)}
+    out = []
+    for t in texts:
+        lp, last = 0.0, classes + 1
+        for w in tokens(t):
+            c = cls[w]
+            row = sum(v for (a, _), v in big.items() if a == last)
+            p = blend * big[last, c] / row + (1 - blend) * share[c]
+            lp += np.log(p) + np.log(flat[w] / (into[c] + (c == classes)))
+            last = c
+        out.append(lp)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 4, 1000])
+def test_scores_are_those_of_brute_force(spark, size, monkeypatch):
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat"]) for _ in range(20)) for _ in range(30)] + ["", None, "zebra"]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    r = {x.doc_id: x for x in brown_lm.perplexities(d, classes=3, min_share=0.01).collect()}
-    assert len(r) == 33 and r[30].perplexity is None and r[31].n_words == 0 and r[30].log_prob == 0
-    base = d.selectExpr("doc_id AS id", "text")
-    m = brown_lm.trained(base, 4, 3, 0.01)
-    flat = [w for t in texts for w in tokens(t)]
-    assert m.vocab.size == 6 and m.vocab.counts.sum() == len(flat) - 1
-    assert np.exp(m.transition[:4]).sum(1) == pytest.approx(1) and brown_lm.perplexities(d.limit(0)).count() == 0
-    ids = {w: int(m.vocab.ids(kernels.words(*kernels.buffers(__import__("pyarrow").array([w])))[0])[0]) for w in set(flat)}
-    seq = [m.vocab.size + 1] + [ids[w] for w in tokens(texts[0])]
-    lp = sum(m.transition[m.cls[a], m.cls[b]] + m.emission[b] for a, b in zip(seq, seq[1:]))
-    assert r[0].log_prob == pytest.approx(lp, abs=1e-5)
-    first = brown_lm.trained(base, 4, 3, 0.01, iterations=0)
-    score = lambda m: sum(x.log_prob for x in base.mapInArrow(brown_lm._score(m), "id long, n_words long, log_prob double").collect())
-    assert score(m) >= score(first) and r[32].perplexity > r[0].perplexity
-
-
-def test_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
+    texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat", "my hen"]) for _ in range(20)) for _ in range(30)] + ["", None, "zebra", "owl hen owl", " owl"]
+    d = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    monkeypatch.setattr(brown_lm, "BATCH", 50)
+    r = {x.doc_id: x for x in brown_lm.perplexities(d, 3, size).collect()}
+    assert len(r) == len(texts) and r["id30"].perplexity is None and r["id31"].n_words == 0 and r["id30"].log_prob == 0
+    core = brown_lm.trained(d.selectExpr("doc_id AS id", "text"), 4, 3, size)
+    assert core.vocab.size == min(size, 9) and len(set(core.cls[: core.vocab.size])) <= 3
+    for i, lp in enumerate(brute_scores(texts, core, 3)):
+        assert r[f"id{i}"].log_prob == pytest.approx(lp, abs=1e-5), i
+
+
+def test_exchange_raises_the_likelihood_of_the_core(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat", "my hen"]) for _ in range(20)) for _ in range(30)]
+    base = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    first, last = (brown_lm.trained(base, shards, 3, iterations=k).counts for shards, k in ((4, 0), (9, 6)))
+    assert brown_lm.likelihood(last) > brown_lm.likelihood(first) and last.sum() == first.sum()
+
+
+def test_no_word_that_occurs_twice_is_left_out_as_the_corpus_grows(spark):
     texts = ["the cat " * 800_000, "rare word", "rare word again", "rare once"]
     base = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    m = brown_lm.trained(base, 4, classes=3, iterations=1)
-    assert sorted(m.vocab.counts) == [2, 3, 800_000, 800_000]
+    core = brown_lm.trained(base, 4, classes=3, core=3, iterations=1)
+    assert sorted(core.vocab.counts) == [3, 800_000, 800_000]
+    seq = [s for row in brown_lm.settled(base, core, 4).collect() for s in [brown_lm.unpack(bytes(row.payload))[3]]]
+    assert Counter(np.concatenate(seq).tolist())[3] == 2  # again, once
 
 
 def test_model_of_hostile_rows(hostile, empty):
