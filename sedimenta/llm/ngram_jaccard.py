@@ -48,7 +48,7 @@ SHARDS_BY_RANGE = 12
 #: Parts of the order, by half binary logarithms of the frequency.
 LEVELS = 16
 #: Candidate pairs of a fragment that one task counts.
-PAIRS_BY_TASK = 2_000_000
+PAIRS_BY_TASK = 250_000
 #: N-grams of at most so many entities give their pairs one by one; others in tiles.
 FEW, TILE = 24, 512
 _SLACK = 1e-9
