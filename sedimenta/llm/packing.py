@@ -5,9 +5,12 @@ document are full.  What is left is packed: lengths are rounded up to multiples
 ``grain`` and counted, so that the problem is a histogram whose size doesn't depend
 on the number of documents.  The linear program over configurations (multisets of
 lengths that fit into a bin) is solved by multiplicative weights: lengths that are
-covered badly weigh more, a knapsack by dynamic programming prices the best
-configuration under these weights, and the same weights give a lower bound.  Whole parts of the solution are taken as they are; the few items
-that the fractions leave are packed by best fit.  The plan is then applied to the
+covered badly weigh more, and a knapsack by dynamic programming prices the best
+configuration under these weights.  The weights, and their average, are dual
+solutions: they give a lower bound, and the steps are made finer until the program's
+value is within ``EPSILON`` of it.  Whole parts of the solution are taken as they
+are; the few items that the fractions leave are packed by best fit.  Where best fit
+alone needs fewer bins than that, its bins are taken.  The plan is then applied to the
 pieces by their rank within their length, in one pass.
 """
 
@@ -24,21 +27,25 @@ from .mixing import token_estimate
 
 CONTEXT = 2048
 GRAIN = 8
-PART = 0.25
-RATE = 0.5
+#: Gap between the program's value and the lower bound at which it counts as solved.
+EPSILON = 0.02
+#: Share of a length's demand that a step covers at most: the coarsest, and the finest.
+PART, FINEST = 1 / 4, 1 / 256
 
 
 def knapsack(y: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The multiset of sizes ``1..len(y)-1`` within ``capacity`` of the largest sum of ``y``."""
+    used = np.flatnonzero(y > 0)
+    value = y[used]
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    fits = np.searchsorted(used, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        m = min(c, len(y) - 1)
-        gains = y[1 : m + 1] + best[c - 1 :: -1][:m] if c > 0 else y[:0]
-        k = int(np.argmax(gains))
-        if gains[k] > best[c - 1]:
-            best[c], choice[c] = gains[k], k + 1
-        else:
-            best[c] = best[c - 1]
+        best[c] = best[c - 1]
+        if fits[c]:
+            gains = value[: fits[c]] + best[c - used[: fits[c]]]
+            k = int(gains.argmax())
+            if gains[k] > best[c]:
+                best[c], choice[c] = gains[k], used[k]
     config, c = np.zeros(len(y), np.int64), capacity
     while c > 0:
         if choice[c]:
@@ -49,34 +56,57 @@ def knapsack(y: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     return config, float(best[capacity])
 
 
-def fractional(demand: np.ndarray, capacity: int, part: float = PART, rate: float = RATE) -> tuple[dict[tuple, float], float]:
-    """Configurations with fractional numbers of bins that cover ``demand``, and the dual lower bound on bins.
+def _covered(demand: np.ndarray, capacity: int, part: float) -> tuple[dict[tuple, float], float]:
+    """A cover of ``demand`` by steps of ``part``, and the lower bound of its weights.
 
     A length's weight is its size (the dual of the bound by volume) times
     ``exp(-rate * covered share)``.  A step covers ``part`` of the demand of the
     length that limits it, so there are at most ``1 / part`` steps a length.
     """
-    used = np.flatnonzero(demand)
-    left, x, low = demand.astype(float), {}, 0.0
-    b = np.maximum(demand.astype(float), 1e-12)
+    used, b = np.flatnonzero(demand), demand.astype(float)
+    rate = 1 / (4 * part)
     sizes = np.arange(len(demand), dtype=float)
-    while (open_ := used[left[used] > 1e-9 * b[used]]).size:
+    share, x, low, mean = np.zeros(len(b)), {}, 0.0, np.zeros(len(b))
+    while (open_ := used[share[used] < 1 - 1e-9]).size:
         y = np.zeros(len(b))
-        y[open_] = sizes[open_] * np.exp(-rate * (1 - left[open_] / b[open_]))
+        y[used] = sizes[used] * np.exp(-rate * (share[used] - share[used].min()))
         config, value = knapsack(y, capacity)
-        low = max(low, float((demand * y).sum()) / value)
+        low = max(low, float(b @ y) / value)
+        mean += y / value
+        if len(open_) < len(used):  # lengths that are covered already take no more room
+            y[np.setdiff1d(used, open_)] = 0
+            config, _ = knapsack(y, capacity)
         on = np.flatnonzero(config)
-        limit = float((left[on] / config[on]).min())
-        step = min(limit, float((b[on] / config[on]).min()) * part)
+        step = float(np.minimum((1 - share[on]) * b[on] / config[on], (b[on] / config[on]).min() * part).min())
         key = tuple((int(i), int(config[i])) for i in on)
         x[key] = x.get(key, 0.0) + step
-        left[on] -= step * config[on]
+        share[on] += step * config[on] / b[on]
+    if mean.any():
+        low = max(low, float(b @ mean) / knapsack(mean, capacity)[1])
     return x, low
 
 
-def plan(demand: np.ndarray, capacity: int, part: float = PART, rate: float = RATE) -> tuple[list[tuple[tuple, int]], float]:
-    """Whole numbers of bins by configuration that hold all of ``demand`` (by size), and the lower bound."""
-    x, low = fractional(demand, capacity, part, rate)
+def fractional(demand: np.ndarray, capacity: int, epsilon: float = EPSILON) -> tuple[dict[tuple, float], float]:
+    """Configurations with fractional numbers of bins that cover ``demand``, and a lower bound on the program's value.
+
+    Their sum is within ``1 + epsilon`` of the bound, or what steps of ``FINEST`` reach.
+    """
+    part, best, low = PART, None, 0.0
+    while best is None or (sum(best.values()) > (1 + epsilon) * low and part >= FINEST):
+        x, bound = _covered(demand, capacity, part)
+        low = max(low, bound)
+        if best is None or sum(x.values()) < sum(best.values()):
+            best = x
+        part /= 4
+    return best, low
+
+
+def plan(demand: np.ndarray, capacity: int, epsilon: float = EPSILON) -> tuple[list[tuple[tuple, int]], float]:
+    """Whole numbers of bins by configuration that hold all of ``demand`` (by size), and the lower bound.
+
+    Never more bins than best fit needs.
+    """
+    x, low = fractional(demand, capacity, epsilon)
     left = demand.astype(np.int64).copy()
     bins: list[tuple[tuple, int]] = []
     for config, value in sorted(x.items(), key=lambda kv: -kv[1]):
@@ -85,7 +115,9 @@ def plan(demand: np.ndarray, capacity: int, part: float = PART, rate: float = RA
             bins.append((config, n))
             for i, a in config:
                 left[i] -= n * a
-    return bins + best_fit(left, capacity), low
+    bins += best_fit(left, capacity)
+    plain = best_fit(demand, capacity)
+    return min(bins, plain, key=lambda found: sum(n for _, n in found)), low
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
@@ -160,12 +192,13 @@ def packed(docs: DataFrame, context: int = CONTEXT, grain: int = GRAIN, id_col:
     Piece ``chunk_no`` of a document starts at its token ``chunk_no * context``.
     Pieces of a bin don't overlap and don't reach beyond it.  Every row is packed,
     rows of one id each on their own and rows without id too.  A text without tokens
-    (null or empty) has no piece.  An empty table gives an empty result.
+    (null or empty) has no piece.  An empty table gives an empty result.  Ids are of any type.
     """
     if context % grain:
         raise ValueError("context must be a multiple of grain")
     n_tokens = token_estimate(text_col) if tokens is None else tokens.cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens.alias("n")).where("n > 0")
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("n")).where("n > 0")
     cut = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / context).cast("int") - 1))
     pieces = rows.select("doc_id", "n", cut.alias("chunk_no")).select("doc_id", "chunk_no", F.least(F.lit(context).cast("long"), F.col("n") - F.col("chunk_no").cast("long") * context).alias("n_tokens"))
     pieces = pieces.withColumn("size", F.ceil(F.col("n_tokens") / grain).cast("int"))
@@ -184,4 +217,4 @@ def packed(docs: DataFrame, context: int = CONTEXT, grain: int = GRAIN, id_col:
     counts = counts.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("size", "bucket").orderBy("doc_id", "chunk_no", "n_tokens")) - 1
     ranked = pieces.withColumn("r", rank).join(counts, ["size", "bucket"]).select("doc_id", "chunk_no", "n_tokens", "size", (F.col("before") + F.col("r")).alias("rank"))
-    return ranked.mapInArrow(_place(table, grain), "doc_id long, chunk_no int, n_tokens long, bin_id long, bin_offset long")
+    return ranked.mapInArrow(_place(table, grain), f"doc_id {id_type}, chunk_no int, n_tokens long, bin_id long, bin_offset long")

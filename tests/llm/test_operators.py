@@ -505,8 +505,66 @@ def test_knapsack_and_plan_against_brute_force():
             assert sum(i * a for i, a in c) <= 12
             for i, a in c:
                 got[i] += a * n
-        best = sum(n for _, n in packing.best_fit(demand, 12))  # near the optimum; the bound by weights is loose for so few sizes
-        assert (got == demand).all() and low - 1e-6 <= sum(n for _, n in bins) <= best + 2
+        best = sum(n for _, n in packing.best_fit(demand, 12))
+        assert (got == demand).all() and low - 1e-6 <= sum(n for _, n in bins) <= best
+
+
+def optimum(demand, capacity):
+    """The least number of bins, by exhaustion over full configurations."""
+    from functools import lru_cache
+
+    sizes = [s for s in range(len(demand) - 1, 0, -1) if demand[s]]
+
+    def configs(left, room, k):
+        if k == len(sizes):
+            yield ()
+            return
+        for a in range(min(left[k], room // sizes[k]), -1, -1):
+            for more in configs(left, room - a * sizes[k], k + 1):
+                yield (a, *more)
+
+    @lru_cache(None)
+    def least(left):
+        if not any(left):
+            return 0
+        first = next(k for k, n in enumerate(left) if n)
+        return 1 + min(least(tuple(n - a for n, a in zip(left, c))) for c in configs(left, capacity, 0) if c[first])
+
+    return least(tuple(int(demand[s]) for s in sizes))
+
+
+def test_linear_program_against_the_optimum():
+    rng = np.random.default_rng(4)
+    gaps = []
+    for _ in range(25):
+        demand = np.zeros(11, np.int64)
+        demand[rng.choice(np.arange(2, 11), 4, replace=False)] = rng.integers(1, 6, 4)
+        best = optimum(demand, 10)
+        x, low = packing.fractional(demand, 10)
+        bins, bound = packing.plan(demand, 10)
+        assert low <= best + 1e-6 and bound == low and best <= sum(n for _, n in bins) <= best + 1
+        for i in np.flatnonzero(demand):
+            assert sum(v * dict(c).get(int(i), 0) for c, v in x.items()) >= demand[i] - 1e-6
+        gaps.append(sum(x.values()) / low - 1)
+    assert np.mean(gaps) <= 0.05
+
+
+def test_linear_program_of_the_documents_is_solved(spark, sf):
+    n = [r.n for r in spark.read.parquet(f"{sf}/documents.parquet").select(mixing.token_estimate().alias("n")).collect()]
+    demand = np.bincount([-(-(k % 2048) // 8) for k in n if k % 2048], minlength=257)
+    full, demand[256], demand[0] = demand[256], 0, 0
+    x, low = packing.fractional(demand, 256)
+    assert sum(x.values()) <= (1 + packing.EPSILON) * low
+
+
+def test_packed_rows_of_few_documents_take_the_least_number_of_bins(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        t = [rng.randrange(1, 11) for _ in range(9)]
+        d = spark.createDataFrame([(f"d{i}", k) for i, k in enumerate(t)], "doc_id string, t long").withColumn("text", F.lit("x"))
+        rows = packing.packed(d, 10, 1, tokens=F.col("t")).collect()
+        assert Counter({r.doc_id: r.n_tokens for r in rows}) == Counter({f"d{i}": k for i, k in enumerate(t)})
+        assert optimum(np.bincount(t, minlength=11), 10) <= check_bins(rows, 10) <= optimum(np.bincount(t, minlength=11), 10) + 1
 
 
 def test_packing_of_hostile_rows(hostile, empty):
