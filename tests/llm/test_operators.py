@@ -718,6 +718,32 @@ def test_warc_ends_at_damage(spark, tmp_path):
     assert warc.read(spark, "file://" + str(tmp_path / "none")).count() == 0
 
 
+def test_warc_of_long_headers_and_payloads_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "http://h/" + "u" * (1 << 21), "x"), (2, "http://h/2", "WARC/1.0\r\n" + "y" * (3 << 20)), (2, "http://h/2", "twice"), (3, None, "")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("path", "offset", "next", "payload", "value", "start", "exit"):
+        p = p.withColumn(c, F.lit("clash"))
+    got = sorted((r.page_id, r.url, r.html) for r in warc.round_trip(p).collect() if r.url) + [(r.page_id, r.url, r.html) for r in warc.round_trip(p).collect() if not r.url]
+    assert got == sorted(rows[:3]) + rows[3:] and warc.round_trip(p.limit(0)).count() == 0
+
+
+def test_warc_reads_gzip_members(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "z").mkdir()
+    head = lambda n, k: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {n}\r\n\r\n".encode()
+    rng = random.Random(3)
+    inner = gzip.compress(head(2, 999) + b"no\r\n\r\n", compresslevel=0)
+    bodies = [rng.randbytes(rng.randrange(5000)) + (inner if k % 3 == 0 else b"") for k in range(40)]
+    records = [gzip.compress(head(len(b), k) + b + b"\r\n\r\n", compresslevel=0 if k % 2 else 9) for k, b in enumerate(bodies)]
+    (tmp_path / "z" / "a.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "z" / "cut.warc.gz").write_bytes(b"".join(records[:3])[:-5])
+    for split in (1000, 1 << 20):
+        r = warc.read(spark, "file://" + str(tmp_path / "z"), split).collect()
+        assert {x.record_id: bytes(x.payload) for x in r if x.path.endswith("/a.warc.gz")} == {f"<urn:{k}>": b for k, b in enumerate(bodies)}
+        assert sorted(x.record_id for x in r if x.path.endswith("/cut.warc.gz")) == ["<urn:0>", "<urn:1>"]
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
