@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import fresh, pick, small, written
+from .common import fresh, key_of, named, pick, small, streamed, written
 
 #: (modulus, point) pairs; tests use small moduli to force collisions.
 MODULI = ((2147483647, 1103515245), (2147483629, 1812433253))
@@ -45,9 +45,9 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray, p: int, x: int) -> np.nda
     some = np.flatnonzero(size > 0)
     if not len(some):
         return out
-    longest = int(size.max())
-    if longest > K.SPAN:  # one document: chunk by chunk, shifted by the length before
-        for i in some:
+    if int(size.max()) > K.SPAN:  # long ones chunk by chunk, shifted by the length before
+        longer = size > K.SPAN
+        for i in np.flatnonzero(longer):
             total, shift = 0, 1
             for at in range(int(offsets[i]), int(offsets[i + 1]), K.SPAN):
                 end = min(at + K.SPAN, int(offsets[i + 1]))
@@ -55,10 +55,14 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray, p: int, x: int) -> np.nda
                 total = (total + shift * part) % p
                 shift = shift * pow(x, end - at, p) % p
             out[i] = total
+        cuts = np.flatnonzero(np.diff(np.r_[True, longer, True]))  # runs of the others
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            o = offsets[a : b + 1]
+            out[a:b] = fingerprint(data[o[0] : o[-1]], o - o[0], p, x)
         return out
-    up = _cached(p, x, longest)
+    up = _cached(p, x, int(size.max()))
     place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * up[place]  # below 2**40 each, at most 2**20 of them
+    terms = (data.astype(np.uint64) + np.uint64(1)) * up[place]  # below 2**40 each, fewer than 2**20 of them
     out[some] = np.add.reduceat(terms, offsets[:-1][some]) % np.uint64(p)
     return out
 
@@ -113,10 +117,10 @@ def _parts(moduli):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, moduli=MODULI) -> DataFrame:
     """(id, tag, n_bytes, f1, f2) of each distinct (id, text); ``tag`` is a hash that tells the texts of one id apart."""
     base = pick(docs, id_col, text_col).where("text IS NOT NULL").withColumn("tag", F.xxhash64("text"))
-    short = base.where(F.octet_length("text") <= chunk_bytes).mapInArrow(_whole(moduli), "id long, tag long, n_bytes long, f1 long, f2 long")
+    short = streamed(base.where(F.octet_length("text") <= chunk_bytes), _whole(moduli), "id long, tag long, n_bytes long, f1 long, f2 long")
     huge = base.where(F.octet_length("text") > chunk_bytes)
     chunks = _chunked(huge.withColumn("n_bytes", F.octet_length("text").cast("long")), chunk_bytes, "id", "tag", "n_bytes")
-    parts = chunks.repartition("id", "at").mapInArrow(_parts(moduli), "id long, tag long, n_bytes long, at long, f1 long, f2 long")
+    parts = streamed(chunks.repartition("id", "at"), _parts(moduli), "id long, tag long, n_bytes long, at long, f1 long, f2 long")
     parts = parts.groupBy("id", "tag", "n_bytes", "at").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"))
     mod = lambda c, p: F.pmod(F.sum(c), F.lit(p)).cast("long").alias(c)
     whole = parts.groupBy("id", "tag", "n_bytes").agg(mod("f1", moduli[0][0]), mod("f2", moduli[1][0]))
@@ -157,26 +161,31 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     ``copy_of`` is the smallest id that has the text.  Texts compare byte by byte.
     Null texts are copies of nothing; empty texts are copies of each other.  Rows
     without id are left out, rows of one id and text count once, and an id isn't a
-    copy of itself.  An empty table gives an empty result.
+    copy of itself.  An empty table gives an empty result.  Ids that aren't whole
+    numbers stand in the order of their hashes.
     """
-    return _copies(docs, id_col, text_col, chunk_bytes, moduli).select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"))
+    return named(_copies(docs, id_col, text_col, chunk_bytes, moduli).select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of")), docs, id_col, "doc_id", "copy_of")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with one row of each text: one of the smallest id, its columns as they are.
 
-    Rows without id or text stay.  Of rows that share id and text, one stays.
+    Rows without id or text stay.  Of rows that share id and text, one stays: the first
+    by the other columns' hash.
     """
     i, t, n = fresh(docs, "id", "tag", "n")
     drop = written(_copies(docs, id_col, text_col, chunk_bytes, MODULI).select(F.col("id").alias(i), F.col("tag").alias(t)), "dropped")
     tags = pick(docs, id_col, text_col).where("text IS NOT NULL").select(F.col("id").alias(i), F.xxhash64("text").alias(t))
     twice = written(tags.groupBy(i, t).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n), "repeated")
     text = F.col(text_col).cast("string")
-    match = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(t)) & text.isNotNull()
+    match = (key_of(docs, id_col) == F.col(i)) & (F.xxhash64(text) == F.col(t)) & text.isNotNull()
     kept = docs.join(small(drop), match, "left_anti")
     single = kept.join(small(twice), match, "left_anti")
     rows = kept.join(small(twice), match, "left_semi")
-    one = rows.withColumn(n, F.row_number().over(W.partitionBy(F.col(id_col).cast("long"), text).orderBy(F.lit(0)))).where(F.col(n) == 1).drop(n)
+    others = [f for f in docs.schema if f.name not in (id_col, text_col)]
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in others] or [F.lit(0)]
+    plain = [F.col(f"`{f.name}`") for f in others if f.dataType.simpleString() in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    one = rows.withColumn(n, F.row_number().over(W.partitionBy(key_of(docs, id_col), text).orderBy(F.xxhash64(*hashed), *plain))).where(F.col(n) == 1).drop(n)
     return single.unionByName(one)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import fresh, small, written
+from .common import fresh, give_back, key_of, named, small, written
 
 ALPHA = 0.7
 KEEP = 0.8
@@ -108,42 +108,53 @@ def flight(pi: np.ndarray, t: np.ndarray, seed: str, counts: bool = True, sizes:
 
 def _flight(seed: int, level: str):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        table = table.sort_by([("id", "ascending"), ("nameless", "ascending")])
         pi = table.column("pi").to_numpy()
         key = f"{seed}:{level}:{table.column('source')[0].as_py() if level != 'all' else ''}:{table.column('block')[0].as_py()}"
         out = flight(pi, table.column("n_tokens").to_numpy(), key)
         if level == "all":  # the landing: first without the tokens, then without the number
             out = flight(out, table.column("n_tokens").to_numpy(), key + ":landing", sizes=False)
             out = flight(out, table.column("n_tokens").to_numpy(), key + ":last", counts=False, sizes=False)
-        return table.set_column(table.column_names.index("pi"), "pi", pa.array(out))
+        out = table.set_column(table.column_names.index("pi"), "pi", pa.array(out))
+        give_back()
+        return out
 
     return run
 
 
+def _unit(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> list[Column]:
+    """What is drawn as one: the rows of an id; without id, those of one source and text (``nameless``, else 0)."""
+    key = key_of(docs, id_col)
+    content = F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return [F.coalesce(key, F.lit(0).cast("long")), F.when(key.isNull(), content).otherwise(F.lit(0).cast("long"))]
+
+
 def _drawn(docs: DataFrame, weights: dict[str | None, float] | None, keep: float, alpha: float, seed: int, id_col: str, source_col: str, text_col: str, tokens: Column | None) -> DataFrame:
-    """(id, source, n_tokens, first_pi, drawn) of every document."""
+    """(id, nameless, source, n_tokens, first_pi, drawn) of every document."""
     if not 0 <= keep <= 1:
         raise ValueError("keep must be between 0 and 1")
     ship(docs.sparkSession)
     n_tokens = token_estimate(text_col) if tokens is None else tokens.cast("long")
-    units = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_tokens.alias("n_tokens")).where("id IS NOT NULL")
-    units = written(units.groupBy("id").agg(F.min("source").alias("source"), F.sum("n_tokens").alias("n_tokens")), "units")
-    totals = units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).orderBy("source").toPandas()
-    t = totals["t"].to_numpy(dtype=float)
-    names = [None if s is None or s != s else s for s in totals["source"]]
+    key, nameless = _unit(docs, id_col, source_col, text_col)
+    units = docs.select(key.alias("id"), nameless.alias("nameless"), F.col(source_col).cast("string").alias("source"), n_tokens.alias("n_tokens"))
+    units = written(units.groupBy("id", "nameless").agg(F.min("source").alias("source"), F.sum("n_tokens").alias("n_tokens")), "units")
+    totals = written(units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")), "totals")
+    found = totals.orderBy("source").toPandas()  # a row a source: the targets are shared out among them
+    t = found["t"].to_numpy(dtype=float)
+    names = [None if s is None or s != s else s for s in found["source"]]
     w = t**alpha if weights is None else np.array([float(weights.get(s, 0.0)) for s in names])
     target = target_tokens(t, w, keep * t.sum()) if len(t) else np.zeros(0)
-    rows = [(s, float(min(1.0, a / b)) if b > 0 else 1.0, -(-int(n) // BLOCK_DOCS)) for s, a, b, n in zip(names, target, t, totals["n"])]
+    rows = [(s, float(min(1.0, a / b)) if b > 0 else 1.0, -(-int(n) // BLOCK_DOCS)) for s, a, b, n in zip(names, target, t, found["n"])]
     rates = docs.sparkSession.createDataFrame(rows, "of string, pi double, blocks int")
-    units = units.join(small(rates), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int"))
-    schema = "id long, source string, n_tokens long, first_pi double, pi double, block int"
-    units = units.select("id", "source", "n_tokens", F.col("pi").alias("first_pi"), "pi", "block")
+    units = units.join(small(rates), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("id", "nameless", F.lit(seed)), F.col("blocks")).cast("int"))
+    schema = "id long, nameless long, source string, n_tokens long, first_pi double, pi double, block int"
+    units = units.select("id", "nameless", "source", "n_tokens", F.col("pi").alias("first_pi"), "pi", "block")
     level0 = written(units.groupBy("source", "block").applyInArrow(_flight(seed, "block"), schema), "flight")
     part = "pi > 0 AND pi < 1"
     level1 = written(level0.where(part).withColumn("block", F.lit(-1)).groupBy("source", "block").applyInArrow(_flight(seed, "source"), schema), "flight")
     level2 = level1.where(part).withColumn("block", F.lit(-2)).groupBy("block").applyInArrow(_flight(seed, "all"), schema)
     done = level0.where(f"NOT ({part})").unionByName(level1.where(f"NOT ({part})")).unionByName(level2)
-    return done.select("id", "source", "n_tokens", "first_pi", (F.col("pi") == 1).alias("drawn"))
+    return done.select("id", "nameless", "source", "n_tokens", "first_pi", (F.col("pi") == 1).alias("drawn"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -157,18 +168,20 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, keep:
     by what the last two documents make, and so they do over all sources.
 
     Rows that share an id are one document, in the first of their sources, its tokens
-    their sum.  Rows without id aren't drawn.  A null source is a source of its own.
-    Documents without tokens (null or empty text) are drawn with the probability of
-    their source.  An empty table gives an empty result.
+    their sum; rows without id are one if they share source and text, and are drawn
+    like others (``doc_id`` null).  A null source is a source of its own.  Documents
+    without tokens (null or empty text) are drawn with the probability of their
+    source.  An empty table gives an empty result.  Ids are of any type.
     """
     found = _drawn(docs, weights, keep, alpha, seed, id_col, source_col, text_col, tokens).where("drawn")
-    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.col("first_pi").alias("inclusion_probability"))
+    found = found.select(F.when(F.col("nameless") == 0, F.col("id")).alias("doc_id"), "source", "n_tokens", F.col("first_pi").alias("inclusion_probability"))
+    return named(found, docs, id_col, "doc_id")
 
 
 def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, keep: float = KEEP, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``mixed`` draws, their columns as they are; all rows of an id go together."""
+    """The rows of ``docs`` that ``mixed`` draws, their columns as they are; all rows of a document go together."""
     out = _drawn(docs, weights, keep, alpha, seed, id_col, source_col, text_col, tokens).where("NOT drawn")
-    (name,) = fresh(docs, "id")
-    out = written(out.select(F.col("id").alias(name)), "not-drawn")
-    key = F.col(id_col).cast("long")
-    return docs.where(key.isNotNull()).join(small(out), key == F.col(name), "left_anti")
+    i, n = fresh(docs, "id", "nameless")
+    out = written(out.select(F.col("id").alias(i), F.col("nameless").alias(n)), "not-drawn")
+    key, nameless = _unit(docs, id_col, source_col, text_col)
+    return docs.join(small(out), (key == F.col(i)) & (nameless == F.col(n)), "left_anti")

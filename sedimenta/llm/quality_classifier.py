@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import kernels as K
-from .common import pack, pick, unpack, written
+from .common import is_whole, pack, small, streamed, unpack, written
 
 DIMS = 1 << 20
 MAX_FIT_ROWS = 20_000
-MIN_DOCS = 3
 SMOOTHING = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -78,14 +78,12 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(h) for h in HEADS), pa.array(out, pa.binary())], ["id", *HEADS, "features"])
 
 
-def log_count_ratio(sets: list[np.ndarray], y: np.ndarray, dims: int = DIMS, min_docs: int = MIN_DOCS, smoothing: float = SMOOTHING) -> np.ndarray:
+def log_count_ratio(sets: list[np.ndarray], y: np.ndarray, dims: int = DIMS, smoothing: float = SMOOTHING) -> np.ndarray:
     pos, neg = np.zeros(dims), np.zeros(dims)
     for s, positive in zip(sets, y > 0):
         (pos if positive else neg)[s] += 1
     p, q = pos + smoothing, neg + smoothing
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    r[pos + neg < min_docs] = 0
-    return r
+    return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
 def dual_descent(sets: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 0, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -132,13 +130,15 @@ def _fit(table: pa.Table) -> pa.Table:
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> dict[str, tuple[np.ndarray, float]]:
-    """Models by head, of fixed size.  A document labelled several times counts with its largest labels."""
-    base = pick(docs, id_col, text_col)
-    known = labels.select(F.col(id_col).cast("long").alias("lid"), *(F.col(h).cast("int").alias(h) for h in HEADS)).where("lid IS NOT NULL")
+    """Models by head, of fixed size.  A document labelled several times counts with its largest labels, an id of several texts with the first of them."""
+    ship(docs.sparkSession)
+    kind = "long" if is_whole(docs, id_col) and is_whole(labels, id_col) else "string"
+    known = labels.select(F.col(id_col).cast(kind).alias("lid"), *(F.col(h).cast("int").alias(h) for h in HEADS)).where("lid IS NOT NULL")
     known = known.groupBy("lid").agg(*(F.max(h).alias(h) for h in HEADS))
     chosen = written(known.orderBy(F.xxhash64("lid", F.lit(seed)), "lid").limit(max_fit_rows), "labelled")
-    rows = base.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("id", "text", *HEADS)  # at most max_fit_rows rows
-    sets = rows.mapInArrow(_sets, "id long, quality int, toxic int, features binary")
+    base = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = base.join(F.broadcast(chosen), F.col("id") == F.col("lid")).groupBy("id", *HEADS).agg(F.min("text").alias("text"))  # at most max_fit_rows rows
+    sets = streamed(rows, _sets, f"id {'bigint' if kind == 'long' else kind}, quality int, toxic int, features binary")
     models = sets.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "head string, model binary").collect()  # two rows of fixed size
     out = {}
     for row in models:
@@ -178,9 +178,11 @@ def classified(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_R
     quality and not toxic.  Null and empty texts have no feature: their margins are
     the models' biases.  Where the labels of a head are all alike or there are none,
     its margin is null and it rejects nothing.  Rows without id are left out; every
-    other row is scored, equal ones alike.  An empty table gives an empty result.
+    other row is scored, equal ones alike.  An empty table gives an empty result.  Ids are
+    of any type.
     """
     models = trained(docs, labels, max_fit_rows, id_col, text_col, seed)
-    scored = pick(docs, id_col, text_col).mapInArrow(_score(models), "id long, quality double, toxic double")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    scored = streamed(base, _score(models), f"id {base.schema['id'].dataType.simpleString()}, quality double, toxic double")
     toxic = F.coalesce(F.col("toxic") > 0, F.lit(False))
     return scored.select(F.col("id").alias("doc_id"), F.round("quality", 6).alias("quality_margin"), F.round("toxic", 6).alias("toxic_margin"), toxic.alias("is_toxic"), (F.coalesce(F.col("quality") > 0, F.lit(True)) & ~toxic).alias("keep"))

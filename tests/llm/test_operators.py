@@ -449,6 +449,60 @@ def test_dual_descent_reaches_the_primal():
     assert all(primal(w + rng.normal(0, 0.05, 20), b + rng.normal(0, 0.05)) >= best - 1e-3 for _ in range(200))
 
 
+def brute_margins(rows, labels, head):
+    """Features, ratios, descent and scores by sets and dictionaries, document by document."""
+    import re
+
+    one = lambda w: kernels.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+
+    def features(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        h = [one(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+", raw)]
+        two = [quality_classifier._REPEAT if a == b else kernels.mix(np.array([a * np.uint64(3) + b]))[0] for a, b in zip(h, h[1:])]
+        return frozenset((int(x) >> 16) % quality_classifier.DIMS for x in h + two)
+
+    with np.errstate(over="ignore"):
+        sets = {i: features(t) for i, t in rows}
+    known = sorted((i, y) for i, y in labels if y is not None and i in sets)
+    pos, neg = Counter(), Counter()
+    for i, y in known:
+        (pos if y > 0 else neg).update(sets[i])
+    d = quality_classifier.DIMS
+    ratio = lambda f: np.log((pos[f] + 1) / (sum(pos.values()) + d)) - np.log((neg[f] + 1) / (sum(neg.values()) + d))
+    w, bias, alpha, n = Counter(), 0.0, [0.0] * len(known), len(known)
+    k = sum(y > 0 for _, y in known)
+    rng = np.random.default_rng(0)
+    for _ in range(quality_classifier.EPOCHS):
+        worst = 0.0
+        for j in rng.permutation(n):
+            i, y = known[j]
+            y = 1 if y > 0 else -1
+            top = quality_classifier.COST * n / 2 / (k if y > 0 else n - k)
+            g = y * (sum(w[f] * ratio(f) for f in sets[i]) + bias) - 1
+            new = min(max(alpha[j] - g / (sum(ratio(f) ** 2 for f in sets[i]) + 1), 0.0), top)
+            step, alpha[j] = new - alpha[j], new
+            for f in sets[i]:
+                w[f] += step * y * ratio(f)
+            bias += step * y
+            worst = max(worst, abs(step) / top)
+        if worst < 1e-3:
+            break
+    return {i: sum(w[f] * ratio(f) for f in s) + bias for i, s in sets.items()}
+
+
+def test_margins_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["River", "stone,", "bad-word", "%%", "é", "x x"]) for _ in range(rng.randrange(1, 12)))) for i in range(40)] + [(40, ""), (41, None)]
+    labels = [(i, int(rng.random() < 0.6), rng.choice([0, 1, None])) for i in range(0, 40, 2)] + [(99, 1, 1)]
+    d, known = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    r = {x.doc_id: x for x in quality_classifier.classified(d, known).collect()}
+    for k, head in enumerate(("quality", "toxic")):
+        for i, m in brute_margins(rows, [(x[0], x[1 + k]) for x in labels], head).items():
+            assert r[i][f"{head}_margin"] == pytest.approx(m, abs=1e-5)
+    text = quality_classifier.classified(d.selectExpr("'d' || doc_id AS doc_id", "text"), known.selectExpr("'d' || doc_id AS doc_id", "quality", "toxic")).collect()
+    assert {x.doc_id for x in text} == {f"d{i}" for i, _ in rows}
+
+
 def test_classifier_of_hostile_rows(spark, hostile, empty):
     known = spark.createDataFrame([(0, 1, 0), (3, 0, None), (3, None, 0), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     r = quality_classifier.classified(hostile, known).collect()
@@ -608,10 +662,57 @@ def test_mixture_reaches_its_targets(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in again}
 
 
+def brute_mix(rows, keep=mixing.KEEP, alpha=mixing.ALPHA, seed=mixing.SEED):
+    """(id, source) drawn, of (id, source, tokens) of distinct ids: the phases by plain lists, in one block."""
+    by = defaultdict(list)
+    for i, s, t in sorted(rows):
+        by[s].append((i, t))
+    names = sorted(by)
+    t = np.array([float(sum(x for _, x in by[s])) for s in names])
+    goal = mixing.target_tokens(t, t**alpha, keep * t.sum())
+    over, drawn = [], set()
+    for s, a, b in zip(names, goal, t):
+        pi = np.full(len(by[s]), min(1.0, a / b) if b else 1.0)
+        left = [(i, n, p) for (i, n), p in zip(by[s], mixing.flight(pi, np.array([n for _, n in by[s]]), f"{seed}:block:{s}:0"))]
+        drawn |= {(i, s) for i, _, p in left if p == 1}
+        left = [x for x in left if 0 < x[2] < 1]
+        if left:
+            p = mixing.flight(np.array([x[2] for x in left]), np.array([x[1] for x in left]), f"{seed}:source:{s}:-1")
+            drawn |= {(x[0], s) for x, q in zip(left, p) if q == 1}
+            over += [(x[0], s, x[1], q) for x, q in zip(left, p) if 0 < q < 1]
+    over.sort()
+    p, n, key = np.array([x[3] for x in over]), np.array([x[2] for x in over]), f"{seed}:all::-2"
+    if over:
+        p = mixing.flight(mixing.flight(mixing.flight(p, n, key), n, key + ":landing", sizes=False), n, key + ":last", counts=False, sizes=False)
+    return drawn | {(x[0], x[1]) for x, q in zip(over, p) if q == 1}
+
+
+def test_flight_stays_in_the_null_space():
+    """Each step of the walk against the constraints' null space by singular values."""
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        pi, t = rng.random(7), rng.integers(1, 9, 7).astype(float)
+        out = mixing.flight(pi, t, str(k))
+        a = np.stack([np.ones(7), t])
+        null = np.linalg.svd(a)[2][2:]
+        move = out - pi
+        assert np.abs(a @ move).max() < 1e-9 and np.abs(move - null.T @ (null @ move)).max() < 1e-9 and ((out > 0) & (out < 1)).sum() <= 2
+
+
+def test_mixture_is_that_of_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, f"s{rng.randrange(4)}", "x" * rng.randrange(1, 900)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = brute_mix([(i, s, -(-len(t) // 4)) for i, s, t in rows])
+    assert {(r.doc_id, r.source) for r in mixing.mixed(d).collect()} == want
+    assert {r.doc_id for r in mixing.sample(d).collect()} == {i for i, _ in want}
+    assert {r.doc_id[1:] for r in mixing.mixed(d.selectExpr("'d' || doc_id AS doc_id", "source", "text")).collect()} <= {str(i) for i in range(300)}
+
+
 def test_mixing_of_hostile_rows(hostile, empty):
-    assert mixing.mixed(hostile, keep=1.0).count() == hostile.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
+    assert mixing.mixed(hostile, keep=1.0).count() == hostile.where("doc_id IS NOT NULL").select("doc_id").distinct().count() + 2
     s = mixing.sample(hostile, keep=0.5)
-    assert s.columns == hostile.columns and s.where("doc_id IS NULL").count() == 0
+    assert s.columns == hostile.columns and mixing.sample(hostile, keep=1.0).count() == hostile.count()
     assert mixing.mixed(hostile, keep=0.0).count() >= 0 and mixing.mixed(empty).count() == 0 and mixing.sample(empty).count() == 0
 
 
@@ -674,18 +775,101 @@ def test_estimate_withstands_a_fifth_of_bad_rows(spark):
     assert (far(bad) > robust_rules.chi2(1e-8, robust_rules.D)).all() and (far(good) < robust_rules.chi2(1e-8, robust_rules.D)).mean() > 0.99
 
 
+def brute_rules(rows, steps=100):
+    """(row number, distance, keep) of (text, lang, source), with lists and exact quantiles."""
+    R = robust_rules
+    vec, names = {}, {}
+    stats = []
+    for t, _, _ in rows:
+        raw, w = (t or "").encode(), tokens(t)
+        lines = [x for x in ([y for y in tokens(x)] for x in (t or "").split("\n")) if x]
+        plain = lambda f: sum(1 for b in raw if b < 128 and f(chr(b)))  # noqa: B023, E731
+        stats.append({
+            "n_bytes": len(raw), "n_words": len(w), "word_bytes": sum(len(x.encode()) for x in w), "n_punct": plain(lambda c: 33 <= ord(c) < 127 and not c.isalnum()), "n_digit": plain(str.isdigit), "n_upper": plain(str.isupper),
+            "n_wide": sum(b >= 128 for b in raw), "n_stutter": sum(a == b for a, b in zip(w, w[1:])), "n_breaks": raw.count(b"\n"), "n_lines": len(lines), "n_repeated": len(lines) - len({tuple(x) for x in lines}),
+        })
+    live = [k for k, s in enumerate(stats) if s["n_words"]]
+    for lang in {rows[k][1] for k in live}:
+        mine = [k for k in live if rows[k][1] == lang]
+        total = lambda c: sum(stats[k][c] for k in mine)  # noqa: B023, E731
+        for k in mine:
+            x = []
+            for j, (_, a, b, pseudo) in enumerate(R.RATES):
+                rate = (stats[k][a] + pseudo * total(a) / max(total(b), 1)) / (stats[k][b] + pseudo)
+                x.append(np.log(max(rate, 1e-6)) if j == 0 else 2 * np.arcsin(np.sqrt(min(max(rate, 0), 1))))
+            vec[k] = np.array(x)
+    for k in live:
+        names[k] = ((rows[k][1], rows[k][2]), (rows[k][1],), ())
+    at = lambda v, p: sorted(v)[max(int(np.ceil(p * len(v))) - 1, 0)]
+
+    def fit(x, share):
+        return x.mean(0), np.atleast_2d(np.cov(x.T, bias=True)) / R.central_variance(share) + np.eye(R.D) * R.FLOOR**2
+
+    def far(x, m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    est = {}
+    for g in {g for k in live for g in names[k]}:
+        x = np.array([vec[k] for k in live if g in names[k]])
+        m = np.array([at(x[:, j], 0.5) for j in range(R.D)])
+        s = np.array([1.4826 * at(np.abs(x[:, j] - m[j]), 0.5) for j in range(R.D)])
+        est[g] = (x, m, np.diag(s**2) + np.eye(R.D) * R.FLOOR**2)
+    for _ in range(steps):
+        new = {}
+        for g, (x, m, c) in est.items():
+            d = far(x, m, c)
+            new[g] = (x, *fit(x[d <= at(d, R.TRUSTED)], R.TRUSTED))
+        moved = max(abs(np.linalg.slogdet(new[g][2])[1] - np.linalg.slogdet(est[g][2])[1]) for g in est)
+        est = new
+        if moved < 1e-3:
+            break
+    final = {}
+    for g, (x, m, c) in est.items():
+        d = far(x, m, c)
+        near = x[d <= max(at(d, 0.5) / R.chi2(0.5, R.D), 1.0) * R.chi2(0.025, R.D)]
+        final[g] = (len(near), *fit(near, 0.975))
+    out = {}
+    for k in live:
+        m = c = None
+        for g in reversed(names[k]):
+            n, gm, gc = final[g]
+            w = 1.0 if m is None else n / (n + R.PSEUDO)
+            m, c = (gm, gc) if m is None else (w * gm + (1 - w) * m, w * gc + (1 - w) * c)
+        d = float(np.sqrt(far(vec[k][None], m, c)[0]))
+        out[k] = (d, d <= np.sqrt(R.chi2(R.TAIL, R.D)))
+    return {k: out.get(k, (None, False)) for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rules_are_those_of_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(150):
+        w = [rng.choice(["stone", "River", "light,", "é", "house.", "7", "of"]) for _ in range(rng.randrange(1, 60))]
+        if k % 11 == 0:
+            w = [rng.choice(["%%%%%", "!!!", "999999", "A" * 40]) for _ in w]
+        rows.append((rng.choice([" ", "\n"]).join(w), rng.choice(["en", "de", None]), rng.choice(["a", "b"]) if k % 3 else "a"))
+    rows += [("", "en", "a"), (None, "en", None), (" \n ", "de", "b"), ("alone in its language", "xx", "c")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want = brute_rules(rows)
+    got = {r.doc_id: r for r in robust_rules.judged(d).collect()}
+    assert len(got) == len(rows) and sum(not k for _, k in want.values()) > 5
+    for i, (dist, keep) in want.items():
+        assert got[i].keep == keep and (got[i].distance is None if dist is None else got[i].distance == pytest.approx(dist, abs=2e-3)), i
+
+
 def test_rules_reject_junk_and_keep_the_rest(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    r = robust_rules.judged(d, min_group=50).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("k")).collect()
+    r = robust_rules.judged(d).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("k")).collect()
     kept = {x.quality: x.k for x in r}
     assert kept[1] > 0.97 and kept[0] < 0.5
-    assert robust_rules.kept(d, min_group=50).columns == d.columns
+    assert robust_rules.kept(d).columns == d.columns
 
 
 def test_rules_of_hostile_rows(hostile, empty):
-    r = robust_rules.judged(hostile, min_group=5).collect()
-    assert len(r) == hostile.count() and all(x.distance is None and not x.keep for x in r if x.n_words == 0)
-    kept = robust_rules.kept(hostile, min_group=5)
+    r = robust_rules.judged(hostile).collect()
+    assert len(r) == hostile.count() and all(x.distance is None and not x.keep for x in r if x.n_words == 0) and all(x.distance is not None for x in r if x.n_words)
+    kept = robust_rules.kept(hostile)
     assert kept.columns == hostile.columns and kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id IN (4, 6, 8)").count() == 0
     assert robust_rules.judged(empty).count() == 0 and robust_rules.kept(empty).count() == 0
 
