@@ -2,8 +2,8 @@
 
 Every word that occurs twice or more is assigned to one of ``CLASSES`` classes by
 exchange clustering; words that occur once are a class of their own.  As in the
-original algorithm, the most frequent words (``CORE`` of them, a parameter of the
-model) are clustered first: each moves to the class that raises the likelihood of the
+original algorithm, the most frequent words (``CORE`` of them at most, a parameter of
+the model; words of one count are all in or all out) are clustered first: each moves to the class that raises the likelihood of the
 class bigrams most, by the exact change for every class, round by round.  The core is
 cut into shards that hold their words' neighbours; within a round a shard exchanges
 its words one after the other, starting from the same class counts as the others, and
@@ -588,7 +588,15 @@ def raised(cls: np.ndarray, new: np.ndarray, counts: np.ndarray, class_counts: C
 def trained(base: DataFrame, shards: int, classes: int = CLASSES, core: int = CORE, iterations: int = ITERATIONS) -> Core:
     """The core of all texts of ``base(id, text)``, clustered."""
     tally = streamed(base, _tally(shards), "shard int, payload binary")
-    found = by_shard(tally, _summed(core), "h long, n long").orderBy(F.desc("n"), "h").limit(core).toPandas()  # 16 bytes a core word
+    words = written(by_shard(tally, _summed(core), "h long, n long"), "words")
+    # the least count of which there are no more than ``core`` words; a row a distinct count
+    least, many = 2, 0
+    for row in words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(core + 1).collect():
+        many += row["k"]
+        if many > core:
+            least = row["n"] + 1
+            break
+    found = words.where(F.col("n") >= least).toPandas()  # 16 bytes a core word
     vocab = Vocabulary(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
     cls = np.r_[np.arange(vocab.size) % classes, classes, classes + 1].astype(np.int16)
     parts, width = max(1, -(-vocab.size // SHARD_WORDS)), classes + 2
