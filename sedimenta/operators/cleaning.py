@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
+from ..ship import ship
 
-PUNCT = r"\p{Punct}…—–“”‘’«»、，。；：！？「」『』（）【】《》〈〉·～"
+PUNCT = "".join(sorted("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…—–“”‘’«»、，。；：！？「」『』（）【】《》〈〉·～"))
 BULLETS = "•*·‐‑–—►▶◆●○-"
 STOPS_EN = ("and", "be", "have", "of", "that", "the", "to", "with")
 STOPS_ZH = ("不", "了", "和", "在", "是", "有", "的", "这")
@@ -33,57 +35,8 @@ PROFILES = {
 }
 
 
-def gopher(text: Column, lang: Column) -> Column:
-    """First rule that fails, else null; words are those of ``text.pieces`` with their case."""
-    ws = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
-    n = F.size(ws)
-    real = F.filter(ws, lambda w: w.rlike(f"[^{PUNCT}]"))
-    m = F.size(real)
-    mean = F.aggregate(real, F.lit(0), lambda s, w: s + F.length(w)) / m
-    cjk = T.is_cjk_language(lang)
-    ls = F.when(F.length(text) > 0, T.lines(text)).otherwise(F.array().cast("array<string>"))
-    bullets = F.size(F.filter(ls, lambda x: x.rlike(rf"^\s*[{BULLETS}]")))
-    dots = F.size(F.filter(ls, lambda x: x.rlike(r"(\.\.\.|…)\s*$")))
-    alpha = F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}")))
-    stops = lambda words, of: F.size(F.array_intersect(of, F.array(*(F.lit(w) for w in words))))
-    english = F.coalesce(F.lower(lang).startswith("en"), F.lit(True))
-    return (
-        F.when(n == 0, "empty").when(m < 50, "too_few_words").when(m > 100_000, "too_many_words")
-        .when(mean < F.when(cjk, 1.3).otherwise(3.0), "avg_word_too_short").when(mean > 10, "avg_word_too_long")
-        .when(T.count_of(text, "#") / n > 0.1, "too_many_hashes")
-        .when((T.count_of(text, "...") + T.count_of(text, "…")) / n > 0.1, "too_many_ellipsis")
-        .when(bullets > 0.9 * F.size(ls), "too_many_bullet_lines").when(dots > 0.3 * F.size(ls), "too_many_ellipsis_lines")
-        .when(alpha / n < 0.6, "too_many_non_alpha_words")
-        .when(cjk & (stops(STOPS_ZH, ws) < 2), "not_enough_stop_words")
-        .when(~cjk & english & (stops(STOPS_EN, F.transform(ws, F.lower)) < 2), "not_enough_stop_words")
-    )
-
-
-def c4(text: Column, lang: Column) -> Column:
-    """First rule that fails, else null.  A fold over lines that stops changing once a line decides."""
-    cjk = T.is_cjk_language(lang)
-    cite = r"\[[0-9]*\]|\[edit\]|\[citation needed\]"
-    any_of = lambda c, subs: c.rlike("|".join(subs))
-
-    def step(state: Column, raw: Column) -> Column:
-        line = F.regexp_replace(T.strip(raw), cite, "")
-        ws = T.words(raw)
-        low = F.lower(line)
-        ended = F.when(cjk, line.rlike("[。！？”’.?!\"']$")).otherwise(line.rlike("[.?!\"']$")) & ~line.endswith("...")
-        usable = (F.size(ws) > 0) & (F.size(F.filter(ws, lambda w: F.length(w) > 1000)) == 0) & ended & (F.size(ws) >= F.when(cjk, 2).otherwise(3))
-        policy = F.when(cjk, any_of(low, POLICIES_CJK)).otherwise(any_of(low, POLICIES))
-        latin = F.size(F.filter(F.split(F.regexp_replace(line, "([.!?][\"')\\]]*)\\s+", "$1\u0001"), "\u0001"), lambda s: s != ""))
-        sents = F.when(cjk, F.size(F.filter(F.split(line, "[。！？…；;]+"), lambda s: T.strip(s) != ""))).otherwise(latin)
-        bad = F.when(~usable, F.lit(None)).when(low.contains("lorem ipsum"), "lorem_ipsum").when(low.contains("javascript"), F.lit(None)).when(line.contains("{"), "curly_bracket")
-        counts = usable & ~low.contains("javascript") & ~policy
-        return F.struct(F.coalesce(state["bad"], bad).alias("bad"), (state["n"] + F.when(counts, sents).otherwise(0)).alias("n"))
-
-    out = F.aggregate(T.lines(text), F.struct(F.lit(None).cast("string").alias("bad"), F.lit(0).alias("n")), step)
-    return F.coalesce(out["bad"], F.when(out["n"] < 5, "too_few_sentences"))
-
-
-#: The filters by name.
-FILTERS = {"gopher_quality": gopher, "c4_quality": c4}
+#: The filters by name: a function of (text, language) to the first rule that fails, else none.
+FILTERS = {"gopher_quality": R.gopher(PUNCT, BULLETS, STOPS_EN, STOPS_ZH), "c4_quality": R.c4(POLICIES, POLICIES_CJK)}
 
 
 def quality(docs: DataFrame, filters: tuple[str, ...] = tuple(FILTERS), default_language: str = "en") -> DataFrame:
@@ -91,9 +44,9 @@ def quality(docs: DataFrame, filters: tuple[str, ...] = tuple(FILTERS), default_
     unknown = set(filters) - set(FILTERS)
     if unknown:
         raise ValueError(f"unknown filters: {sorted(unknown)}")
-    lang = F.coalesce(F.when(F.col("language") != "", F.col("language")), F.lit(default_language))
-    text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", *(FILTERS[f](text, lang).alias(f"{f}_reason") for f in filters))
+    ship(docs.sparkSession)
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{f}_reason string" for f in filters)])
+    out = docs.select("doc_id", "text", "language").mapInArrow(R.reasons({f: FILTERS[f] for f in filters}, default_language), schema)
     failed = F.lit(False)
     for f in filters:
         failed = failed | F.col(f"{f}_reason").isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions.graph import components, roots
 from ..functions.session import written
@@ -31,38 +32,18 @@ def exact(docs: DataFrame, sep: str = "\n\n", min_chars: int = 50) -> DataFrame:
     return out.select("doc_id", "doc_hash", "dup_doc_count", dups.alias("para_dup_count"), F.when(F.col("n_p") > 0, F.round(dups / F.col("n_p"), 4)).otherwise(0.0).alias("para_dup_ratio"), (F.col("dup_doc_count") > 1).alias("is_exact_dup"), (dups > 0).alias("has_para_dups"))
 
 
-def _unit_fractions(units: Column) -> tuple[Column, Column]:
-    norm = F.transform(units, lambda u: F.lower(F.regexp_replace(T.strip(u), r"\s+", " ")))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, u: s + F.length(u))
-    share = lambda k: F.when(F.size(k) > 0, (F.size(k) - F.size(F.array_distinct(k))) / F.size(k)).otherwise(0.0)
-    share_chars = lambda k: F.when(F.size(k) > 0, (chars(k) - chars(F.array_distinct(k))) / F.greatest(chars(k), F.lit(1))).otherwise(0.0)
-    kept = F.filter(norm, lambda u: u != "")
-    return T.let(kept, share), T.let(kept, share_chars)
-
-
-def top_ngram_fraction(tokens: Column, n: int) -> Column:
-    """Share of the tokens that the repeats of the most frequent n-gram take; within the row, no shuffle."""
-    grams = F.sort_array(F.transform(T.upto(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
-    start = F.struct(F.lit(None).cast("long").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, g: Column) -> Column:
-        run = F.when(s["g"] == g, s["run"] + 1).otherwise(1)
-        return T.let(run, lambda r: F.struct(g.alias("g"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
-
-    best = F.aggregate(grams, start, step)["best"]
-    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise(F.least(F.lit(1.0), (best - 1) * n / F.size(tokens)))
-
-
 def repetition(docs: DataFrame) -> DataFrame:
-    """Per document: shares of repeated lines, paragraphs and n-grams, and the thresholds they pass."""
-    text = F.coalesce("text", F.lit(""))
-    lf, lc = _unit_fractions(T.lines(text))
-    pf, pc = _unit_fractions(F.split(text, r"\n\s*\n"))
-    d = docs.select("doc_id", lf.alias("duplicate_line_fraction"), pf.alias("duplicate_paragraph_fraction"), lc.alias("duplicate_line_char_fraction"), pc.alias("duplicate_paragraph_char_fraction"), T.pieces(text).alias("t"))
-    d = d.select("*", *(top_ngram_fraction(F.col("t"), n).alias(f"top_{n}gram_fraction") for n in TOP_NGRAMS))
+    """Per document: shares of repeated lines, paragraphs and n-grams, and the thresholds they pass.
+
+    The shares are counted in one pass over Arrow batches, which the optimizer doesn't
+    look into: no filter on the result computes anything twice.
+    """
+    ship(docs.sparkSession)
+    run, names = R.repeats(tuple(TOP_NGRAMS))
+    d = docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "token_count long", *(f"{c} double" for c in names)]))
     over = {**REPETITION, **{f"top_{n}gram_fraction": v for n, v in TOP_NGRAMS.items()}}
     trig = F.filter(F.array(*(F.when(F.col(k) > v, F.lit(k)) for k, v in over.items())), lambda x: x.isNotNull())
-    return d.select("doc_id", F.size("t").cast("long").alias("token_count"), *(F.round(k, 6).alias(k) for k in over), F.array_join(trig, ",").alias("triggered_thresholds"), (F.size(trig) > 0).alias("is_high_repetition"))
+    return d.select("doc_id", "token_count", *(F.round(k, 6).alias(k) for k in over), F.array_join(trig, ",").alias("triggered_thresholds"), (F.size(trig) > 0).alias("is_high_repetition"))
 
 
 def ngram(docs: DataFrame, n: int = 13, threshold: float = 0.5, sep: str = "\n\n", min_chars: int = 50) -> DataFrame:
