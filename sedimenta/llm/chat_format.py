@@ -27,17 +27,13 @@ DELTA_CHARS = 64
 
 
 def _fold(events: Column) -> Column:
-    """struct(text, alive) after the events, which are in order."""
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("alive"))
-
-    def step(state: Column, e: Column) -> Column:
-        text = F.coalesce(e["text"], F.lit(""))
-        gone = e["kind"].isin("regenerate", "delete")
-        new = F.when(gone, F.lit("")).when(e["kind"] == "edit", text).when(e["kind"].isin("start", "delta"), F.concat(state["text"], text)).otherwise(state["text"])
-        alive = F.when(e["kind"] == "delete", F.lit(False)).when(e["kind"].isin("start", "delta", "edit", "regenerate"), F.lit(True)).otherwise(state["alive"])
-        return F.struct(new.alias("text"), alive.alias("alive"))
-
-    return F.aggregate(events, start, step)
+    """struct(text, alive) after the events, which are in order: what stands behind the last reset, joined once."""
+    resets, known = ("edit", "regenerate", "delete"), ("start", "delta", "edit", "regenerate", "delete")
+    at = F.greatest(F.array_max(F.transform(events, lambda e, i: F.when(e["kind"].isin(*resets), i))), F.lit(0))
+    rest = F.slice(events, at + 1, F.size(events))
+    text = F.transform(rest, lambda e: F.when(e["kind"].isin("start", "delta", "edit"), F.coalesce(e["text"], F.lit(""))).otherwise(""))
+    last = F.try_element_at(F.filter(events, lambda e: e["kind"].isin(*known)), F.lit(-1))
+    return F.struct(F.array_join(text, "").alias("text"), F.coalesce(last["kind"] != "delete", F.lit(False)).alias("alive"))
 
 
 def messages(log: DataFrame) -> DataFrame:

@@ -78,20 +78,25 @@ def brute_spans(rows, n):
         w = tokens(t)
         for i in range(len(w) - n + 1):
             where[tuple(w[i : i + n])].add(d)
+    place = {}
+    for d, t in sorted(docs):
+        w = tokens(t)
+        for i in range(len(w) - n + 1):
+            key = tuple(w[i : i + n])
+            if d == min(where[key]):
+                place[key] = min(place.get(key, i), i)
     out = []
     for d, t in docs:
         w = tokens(t)
-        hit = [len(where[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)]
+        sets = [frozenset(where[tuple(w[i : i + n])]) for i in range(len(w) - n + 1)]
         i = 0
-        while i < len(hit):
-            if hit[i]:
-                j = i
-                while j + 1 < len(hit) and hit[j + 1]:
-                    j += 1
-                others = where[tuple(w[i : i + n])] - {d}
-                out.append((d, i, j - i + n, max(len(where[tuple(w[k : k + n])]) for k in range(i, j + 1)), min(others)))
-                i = j
-            i += 1
+        while i < len(sets):
+            j = i
+            while j + 1 < len(sets) and sets[j + 1] == sets[i]:
+                j += 1
+            if len(sets[i]) > 1:
+                out.append((d, i, j - i + n, len(sets[i]), min(sets[i] - {d}), place[tuple(w[i : i + n])]))
+            i = j + 1
     return sorted(out)
 
 
@@ -158,6 +163,14 @@ def test_chat_folds_events(spark):
     assert chat_format.rendered(log.limit(0)).count() == 0
 
 
+def test_chat_of_very_long_texts_and_many_events(spark):
+    long = "é" * 3_000_000
+    e = [(1, 0, 0, "start", "user", long), (1, 1, 0, "edit", None, long + "x"), (1, 2, 1, "start", "assistant", None)] + [(1, 3 + k, 1, "delta", None, f"{k} ") for k in range(20_000)] + [(2, 0, 0, "note", "user", "no message")]
+    log = spark.createDataFrame(e, "conv_id long, seq long, message_id long, kind string, role string, text string")
+    (r,) = chat_format.rendered(log).collect()
+    assert r.rendered == f"<|im_start|>user\n{long}x<|im_end|>\n<|im_start|>assistant\n{''.join(f'{k} ' for k in range(20_000))}<|im_end|>\n" and r.n_messages == 2
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "é" * 100, words(rng, 200)])) for c in range(5) for t in range(4)] + [(None, 0, "user", "x")]
