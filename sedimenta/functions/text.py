@@ -55,6 +55,22 @@ def shingles(ws: Column, n: int, whole: Column | None = None) -> Column:
     return let(ws, of)
 
 
+def is_cjk(c: Column, least: float = 0.3) -> Column:
+    """Whether more than ``least`` of the characters are Chinese, Japanese or Korean."""
+    return cjk_share(c) > least
+
+
+def any_shingles(c: Column, n: int) -> Column:
+    """Word n-grams; of a text that is mostly CJK, character 5n-grams without spaces, line feeds and tabs.  A shorter text is one."""
+    bare = F.translate(c, " \n\t", "")
+
+    def of(t: Column) -> Column:
+        grams = F.transform(upto(F.length(t) - (5 * n - 1)), lambda i: F.substring(t, i, F.lit(5 * n)))
+        return F.when(F.length(t) < 5 * n, F.array(t)).otherwise(grams)
+
+    return F.when(is_cjk(c), let(bare, of)).otherwise(shingles(words(c), n))
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """Character n-grams of the stripped text; a shorter one is one gram."""
 

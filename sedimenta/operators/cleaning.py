@@ -109,7 +109,7 @@ def langid(docs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
 
 
 SCRIPTS = (("Hani", r"\p{IsHan}"), ("Hira", r"[\p{IsHiragana}\p{IsKatakana}]"), ("Hang", r"\p{IsHangul}"), ("Cyrl", r"\p{IsCyrillic}"), ("Arab", r"\p{IsArabic}"), ("Deva", r"\p{IsDevanagari}"), ("Grek", r"\p{IsGreek}"), ("Latn", r"\p{IsLatin}"))
-MACRO = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "zh": "zho", "ja": "jpn", "ko": "kor", "ru": "rus", "ar": "ara"}
+MACRO = dict(zip("en fr de es zh ja ko ru ar it pt nl sv no nb nn da fi pl cs sk sl hr bs sr uk be bg ro hu el tr he yi fa ur hi bn ta te mr gu pa kn ml th vi id ms tl lo km my ka hy az kk uz mn ne si sw am ha yo ig zu xh af sq et lv lt is ga cy eu ca gl la eo".split(), "eng fra deu spa zho jpn kor rus ara ita por nld swe nor nor nor dan fin pol ces slk slv hbs hbs hbs ukr bel bul ron hun ell tur heb yid fas urd hin ben tam tel mar guj pan kan mal tha vie msa msa tgl lao khm mya kat hye aze kaz uzb mon nep sin swa amh hau yor ibo zul xho afr sqi est lav lit isl gle cym eus cat glg lat epo".split()))
 
 
 def glotlid(docs: DataFrame, min_confidence: float = 0.5) -> DataFrame:

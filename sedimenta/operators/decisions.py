@@ -106,3 +106,47 @@ def direction(positive: Column, negative: Column, higher_is_better: Column, tie:
     rel = F.abs(positive - negative) / F.greatest(F.abs(positive), F.abs(negative), F.lit(1e-12))
     good = F.when(higher_is_better, positive > negative).otherwise(positive < negative)
     return F.when(higher_is_better.isNull(), "~").when(positive.isNull() | negative.isNull(), "ERR").when(rel < tie, "TIE").when(good, "PASS").otherwise("FAIL")
+
+
+def paired_units(left: DataFrame, right: DataFrame, metric: str = "accuracy", by_group: bool = False) -> DataFrame:
+    """``example_id, diff`` of two runs' predictions ``(example_id, grp, <metric>)``; by group the mean of each group's.
+
+    Runs that don't have the same examples, or put one into different groups, are an error.
+    """
+    a = left.select("example_id", F.col("grp").alias("ga"), F.col(metric).cast("double").alias("a"))
+    b = right.select(F.col("example_id").alias("e2"), F.col("grp").alias("gb"), F.col(metric).cast("double").alias("b"))
+    both = a.join(b, F.col("example_id") == F.col("e2"), "full")
+    wrong = F.when(F.col("example_id").isNull() | F.col("e2").isNull(), F.raise_error(F.lit("paired runs do not have the same examples"))).when(~F.col("ga").eqNullSafe(F.col("gb")), F.raise_error(F.concat(F.lit("another group for "), F.col("example_id").cast("string"))))
+    d = both.select("example_id", "ga", F.coalesce(wrong.cast("double"), F.col("a") - F.col("b")).alias("diff"))
+    return d.groupBy(F.col("ga").alias("example_id")).agg(F.avg("diff").alias("diff")) if by_group else d.select("example_id", "diff")
+
+
+def target_resolution(runs: DataFrame, samples: int = 1000, seed: int = 6198, q_most: float = 0.05) -> DataFrame:
+    """``runs(recipe, example_id, grp, accuracy)``: which pairs of recipes the target tells apart.
+
+    ``left, right, delta, low, high, p_value, q_value, decisive, fdr_decisive, direction``.
+    """
+    a = runs.select(F.col("recipe").alias("left"), "example_id", F.col("accuracy").cast("double").alias("a"))
+    b = runs.select(F.col("recipe").alias("right"), "example_id", F.col("accuracy").cast("double").alias("b"))
+    diffs = a.join(b, "example_id").where("left < right").select(F.to_json(F.array("left", "right")).alias("name"), "example_id", (F.col("a") - F.col("b")).alias("diff"))
+    ci = paired_intervals(diffs, samples, seed)
+    q = benjamini_hochberg(ci.select("name", "p_value")).select(F.col("name").alias("n2"), "q_value")
+    out = ci.join(q, F.col("name") == F.col("n2"))
+    pair = F.from_json("name", "array<string>")
+    sure = (F.col("low") > 0) | (F.col("high") < 0)
+    return out.select(pair[0].alias("left"), pair[1].alias("right"), F.round("mean", 6).alias("delta"), "low", "high", "p_value", "q_value", sure.alias("decisive"), (sure & (F.col("q_value") <= q_most)).alias("fdr_decisive"), F.when(sure, F.signum("mean").cast("int")).otherwise(0).alias("direction"))
+
+
+def target_usable(resolution: DataFrame, scores: DataFrame, chance: float, least_pairs: int = 20, least_lift: float = 0.05) -> DataFrame:
+    """One row: decisive pairs, the mean lift over ``chance`` (as a share of what is possible), and whether both suffice.  ``scores(recipe, target)``."""
+    n = resolution.agg(F.count("*").alias("pair_count"), F.count_if("decisive").alias("decisive_pairs"), F.count_if("fdr_decisive").alias("fdr_decisive_pairs"))
+    lift = scores.agg(F.round((F.avg("target") - chance) / (1 - chance), 6).alias("normalized_lift"))
+    return n.crossJoin(lift).withColumn("usable", (F.col("decisive_pairs") >= least_pairs) & (F.col("normalized_lift") >= least_lift))  # one row each
+
+
+def decision_matrix(resolution: DataFrame, proxies: DataFrame) -> DataFrame:
+    """``proxies(scale, recipe, proxy)`` against the target's decisive pairs: accuracy by scale."""
+    d = resolution.where("decisive").select("left", "right", "direction")
+    a, b = proxies.select("scale", F.col("recipe").alias("left"), F.col("proxy").alias("pl")), proxies.select(F.col("scale").alias("s2"), F.col("recipe").alias("right"), F.col("proxy").alias("pr"))
+    m = d.join(a, "left").join(b, "right").where("scale = s2").withColumn("side", F.signum(F.col("pl") - F.col("pr")))
+    return m.groupBy("scale").agg(F.count("*").alias("pair_count"), F.count_if(F.col("side") == F.col("direction")).alias("correct"), F.count_if(F.col("side") == 0).alias("ties")).withColumn("accuracy", F.round(F.col("correct") / F.col("pair_count"), 6))

@@ -98,10 +98,17 @@ def signatures(grams: DataFrame, k: int = 64, seed: int = 1) -> DataFrame:
     return grams.mapInArrow(_signatures(k, seed), ", ".join([*fields, "sig array<long>"]))
 
 
-def minhash_signatures(docs: DataFrame, n: int = 5, k: int = 64, min_shingles: int = 5, seed: int = 1) -> DataFrame:
-    """(doc_id, sig) of documents with at least ``min_shingles`` word shingles; others have no signature."""
-    ws = docs.select("doc_id", T.words(F.col("text")).alias("ws")).where(F.size("ws") >= n + min_shingles - 1)
-    return signatures(ws.select("doc_id", base_hashes(T.shingles(F.col("ws"), n)).alias("hashes")), k, seed)
+def minhash_signatures(docs: DataFrame, n: int = 5, k: int = 64, min_shingles: int = 5, seed: int = 1, legacy_sentinel: bool = False) -> DataFrame:
+    """(doc_id, sig) of documents with at least ``min_shingles`` shingles (``text.any_shingles``).
+
+    Others have no signature and no pair; with ``legacy_sentinel`` they share one
+    signature, so that they are copies of each other.
+    """
+    s = docs.select("doc_id", T.any_shingles(F.coalesce("text", F.lit("")), n).alias("s"))
+    enough = F.size("s") >= min_shingles
+    if legacy_sentinel:
+        return signatures(s.select("doc_id", F.when(enough, base_hashes(F.col("s"))).otherwise(F.array().cast("array<bigint>")).alias("hashes")), k, seed)
+    return signatures(s.where(enough).select("doc_id", base_hashes(F.col("s")).alias("hashes")), k, seed)
 
 
 def bands(sigs: DataFrame, n_bands: int = 8, rows: int = 8) -> DataFrame:
@@ -110,12 +117,16 @@ def bands(sigs: DataFrame, n_bands: int = 8, rows: int = 8) -> DataFrame:
     return sigs.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
-def minhash_pairs(sigs: DataFrame, n_bands: int = 8, rows: int = 8, threshold: float = 0.8, bucket_cap: int = 1000) -> DataFrame:
+def minhash_pairs(sigs: DataFrame, n_bands: int = 8, rows: int = 8, threshold: float = 0.8, bucket_cap: int | None = None) -> DataFrame:
     """(a, b, jaccard): pairs of a common bucket whose signatures agree in ``threshold`` of their places.
 
-    Buckets above ``bucket_cap`` make no pairs, as the operator is defined; the cap
-    stands before the self-join, so that no bucket is squared first.
+    Documents of one signature are one entity, so that copies aren't squared: each of
+    them is paired with the smallest id among them, and that with the near ones.  With
+    ``bucket_cap`` larger buckets make no pairs (the operator's older definition); the
+    cap stands before the self-join.
     """
+    if bucket_cap is None:
+        return _entity_pairs(sigs, n_bands, rows, threshold)
     b = bands(sigs, n_bands, rows)
     ok = b.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket_cap)).select("band", "key")
     b = b.join(ok, ["band", "key"])
@@ -126,9 +137,21 @@ def minhash_pairs(sigs: DataFrame, n_bands: int = 8, rows: int = 8, threshold: f
     return pairs.select("a", "b", same.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def minhash(docs: DataFrame, n: int = 5, n_bands: int = 8, rows: int = 8, threshold: float = 0.8, bucket_cap: int = 1000, min_shingles: int = 5, seed: int = 1) -> DataFrame:
-    """Per document: best estimate, near duplicates, cluster (its smallest id) and its size."""
-    sigs = written(minhash_signatures(docs, n, n_bands * rows, min_shingles, seed), "signatures")
+def _entity_pairs(sigs: DataFrame, n_bands: int, rows: int, threshold: float) -> DataFrame:
+    s = written(sigs.select("doc_id", "sig", F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")).alias("h")), "signatures")
+    rep = written(s.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "entities")
+    pairs = minhash_pairs(rep.select(F.col("rep").alias("doc_id"), "sig"), n_bands, rows, threshold, 1 << 60)
+    same = s.select("doc_id", "h").join(rep.select("h", "rep"), "h").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(same)
+
+
+def minhash(docs: DataFrame, n: int = 5, n_bands: int = 8, rows: int = 8, threshold: float = 0.8, bucket_cap: int | None = 1000, min_shingles: int = 5, seed: int = 1, legacy_sentinel: bool = False) -> DataFrame:
+    """Per document: best estimate, near duplicates, cluster (its smallest id) and its size.
+
+    ``bucket_cap`` is part of the operator's definition (``near_dup_count`` counts
+    pairs); None sets no cap and pairs copies with their smallest id only.
+    """
+    sigs = written(minhash_signatures(docs, n, n_bands * rows, min_shingles, seed, legacy_sentinel), "signatures")
     pairs = written(minhash_pairs(sigs, n_bands, rows, threshold, bucket_cap), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
     near = both.groupBy(F.col("a").alias("d1")).agg(F.round(F.max("jaccard"), 4).alias("jaccard_max"), F.count("*").alias("near_dup_count"))
@@ -188,3 +211,15 @@ def semantic(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     out = df.join(root, F.col("id") == F.col("node")).join(sizes, F.col("root") == F.col("r2"))
     rep = F.col("root") == F.col("id")
     return out.select(F.col("id").alias(id_col), F.round("cos", 4).alias("max_cos"), F.col("root").alias("cluster_root"), "cluster_size", rep.alias("is_representative"), (~rep & (F.col("cluster_size") > 1)).alias("is_semantic_dup"))
+
+
+def dense_clusters(clusters: DataFrame, root: str, id_col: str) -> DataFrame:
+    """``clusters`` with ``cluster_index``: roots numbered from 0 in their order.
+
+    Roots are ranked within ranges of them, and the ranges' sizes added up, so no task sees them all.
+    """
+    roots_ = written(clusters.select(root).distinct().repartitionByRange(root).withColumn("part", F.spark_partition_id()), "roots")
+    sizes = roots_.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    index = roots_.join(F.broadcast(before), "part").select(F.col(root).alias("__root"), (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(root)) - 1).alias("cluster_index"))
+    return clusters.join(index, F.col(root) == F.col("__root")).drop("__root")

@@ -14,7 +14,9 @@ from pyspark.sql import types
 from ..functions import text as T
 from ..ship import ship
 
-ALIASES = {"c++": "cpp", "cxx": "cpp", "golang": "go", "js": "javascript", "node": "javascript", "py": "python", "python3": "python", "rb": "ruby", "rs": "rust", "sh": "bash", "shell": "bash", "ts": "typescript"}
+ALIASES = {"c#": "c-sharp", "c++": "cpp", "csharp": "c-sharp", "cxx": "cpp", "golang": "go", "js": "javascript", "node": "javascript", "py": "python", "python3": "python", "rb": "ruby", "rs": "rust", "sh": "bash", "shell": "bash", "ts": "typescript"}
+#: Languages that have a grammar of their own.
+GRAMMARS = ("c", "c-sharp", "cpp", "go", "java", "javascript", "php", "python", "ruby", "rust", "typescript")
 LABELS = {0: "computing and general works", 100: "philosophy and psychology", 200: "religion", 300: "social sciences", 400: "language", 500: "natural sciences and mathematics", 600: "technology", 700: "arts and recreation", 800: "literature", 900: "history and geography"}
 STEM = (0, 500, 600)
 
@@ -30,14 +32,26 @@ def _parsed(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["errors", "nodes"])
 
 
+def code_language(docs: DataFrame, default: str = "python") -> Column:
+    """A document's programming language: ``meta.lang``, else ``meta.language``, else ``language``, else the default; aliases by their usual name."""
+    some = lambda c: F.nullif(T.strip(c), F.lit(""))
+    own = [some(F.get_json_object("meta", f"$.{k}")) for k in ("lang", "language")] if "meta" in docs.columns else []
+    raw = F.lower(F.coalesce(*own, some(F.col("language")) if "language" in docs.columns else F.lit(None).cast("string"), F.lit(default)))
+    names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, raw), raw)
+
+
 def parsability(docs: DataFrame, language: Column | None = None) -> DataFrame:
-    """Python only: syntax errors by nodes; other languages are unsupported, empty code is unparsable (an error)."""
+    """Python only: syntax errors by nodes; other languages are unsupported, empty code is unparsable (an error).
+
+    Texts of other languages aren't parsed.
+    """
     ship(docs.sparkSession)
-    raw = F.lower(T.strip(F.coalesce(F.nullif(F.col("language"), F.lit("")) if language is None else language, F.lit("python"))))
     names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
-    lang = F.coalesce(F.try_element_at(names, raw), raw)
+    raw = F.lower(T.strip(F.coalesce(language, F.lit("python")))) if language is not None else None
+    lang = code_language(docs) if raw is None else F.coalesce(F.try_element_at(names, raw), raw)
     d = docs.select("doc_id", lang.alias("lang"), "text").withColumn("ok", F.col("lang") == "python")
-    d = d.select("doc_id", "lang", "ok", (F.coalesce(T.strip(F.col("text")), F.lit("")) == "").alias("blank"), _parsed("text").alias("p"))
+    d = d.select("doc_id", "lang", "ok", (F.coalesce(T.strip(F.col("text")), F.lit("")) == "").alias("blank"), _parsed(F.when(F.col("ok"), F.col("text"))).alias("p"))
     e = F.when(~F.col("ok"), 0).when(F.col("blank"), 1).otherwise(F.col("p.errors")).cast("long")
     n = F.when(~F.col("ok"), 0).when(F.col("blank"), 1).otherwise(F.col("p.nodes")).cast("long")
     return d.select("doc_id", "lang", e.alias("error_node_count"), n.alias("total_node_count"), F.when(n > 0, F.round(e / n, 6)).otherwise(0.0).alias("error_ratio"), (e > 0).alias("has_error"), (~F.col("ok")).alias("unsupported_lang"))
@@ -118,3 +132,11 @@ def config_audit(spark, contents: list[tuple[str, str]]) -> DataFrame:
             rows.append((name, p, p in flat, None if v is None else str(v), v is True))
     df = spark.createDataFrame(rows, "name string, parameter string, found boolean, value string, valid boolean")
     return df
+
+
+def stem_by_source(stems: DataFrame, docs: DataFrame) -> DataFrame:
+    """``source, fdc_top_label, docs, share``: classes within each source, by source and then most frequent first."""
+    j = stems.select("doc_id", F.coalesce("fdc_top_label", F.lit("(none)")).alias("fdc_top_label")).join(docs.select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source")), "doc_id")
+    g = j.groupBy("source", "fdc_top_label").agg(F.count("*").alias("docs"))
+    total = g.groupBy(F.col("source").alias("s2")).agg(F.sum("docs").alias("n"))
+    return g.join(total, F.col("source") == F.col("s2")).select("source", "fdc_top_label", "docs", F.round(F.col("docs") / F.col("n"), 4).alias("share")).orderBy("source", F.desc("docs"), "fdc_top_label")

@@ -16,7 +16,16 @@ PII = (
     ("PHONE_NUMBER", r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}-[0-9]{4}", False),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", False),
     ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", False),
+    ("CRYPTO", r"\b(?:bc1[a-z0-9]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{26,34}|0x[0-9a-fA-F]{40})\b", False),
+    ("IN_AADHAAR", r"\b[2-9][0-9]{3} [0-9]{4} [0-9]{4}\b", False),
+    ("IN_PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", False),
+    ("IP_ADDRESS", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}\b", False),
+    ("URL", r"https?://[^ \t\n\r\"<>]+", False),
+    ("US_BANK_NUMBER", r"(?i)\baccount (?:no\.?|number):? [0-9]{8,17}\b", False),
+    ("US_PASSPORT", r"(?i)\bpassport (?:no\.?|number):? [A-Z]?[0-9]{8,9}\b", False),
 )
+#: Addresses of the sixth version that belong to nobody: unspecified, loopback, link-local, private, documentation.
+OWN_IPV6 = r"(?i)^(?:0{0,4}:)*:?0{0,3}[01]$|^fe[89ab][0-9a-f]:|^f[cd][0-9a-f]{2}:|^2001:0?db8:"
 PLACEHOLDER_DOMAINS = "acme.com company.com domain.com email.com example.com example.edu example.net example.org foo.bar foo.com localhost localhost.localdomain mydomain.com sample.com test.com yourdomain.com".split()
 PLACEHOLDER_LOCALS = "abc admin anyone bar contact do-not-reply donotreply email example first.last firstname.lastname foo info jane jane.doe janedoe john john.doe johndoe lastname.firstname me name no-reply nobody noreply placeholder somebody someone test user username xyz you your your-email your_email youremail yourname".split()
 SECRETS = (
@@ -47,7 +56,7 @@ def is_placeholder(entity: Column, value: Column) -> Column:
     bad = F.greatest(*o) > 255
     a, b = o[0], o[1]
     own = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127) & F.lit(False)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.isin(18, 19)) | value.rlike(r"^(192\.0\.[02]|198\.51\.100|203\.0\.113)\.")
-    return F.when(entity == "EMAIL_ADDRESS", mail).when(entity == "IP_ADDRESS", F.when(plain, bad | own).otherwise(F.lit(True))).otherwise(F.lit(False))
+    return F.when(entity == "EMAIL_ADDRESS", mail).when(entity == "IP_ADDRESS", F.when(plain, bad | own).when(F.contains(value, F.lit(":")), value.rlike(OWN_IPV6)).otherwise(F.lit(True))).otherwise(F.lit(False))
 
 
 def pii_hits(docs: DataFrame) -> DataFrame:

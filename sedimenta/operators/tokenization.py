@@ -45,6 +45,30 @@ def hf_tokens(path: str):
     return count
 
 
+def unknown_id(path: str) -> int | None:
+    """The id of the tokenizer's unknown token: the first of the usual names that it has."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    return next((i for i in map(tok.token_to_id, ("[UNK]", "<unk>", "<UNK>")) if i is not None), None)
+
+
+def hf_unknown(path: str):
+    """Counts of unknown tokens, as ``tokenize`` takes them."""
+    unk = unknown_id(path)
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        for s in parts:
+            yield pd.Series([0 if unk is None else e.ids.count(unk) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
+
+    return count
+
+
 def tokenize(docs: DataFrame, count=word_tokens, unknown: Column | None = None, unk_threshold: float = 0.01, fertility_threshold: float = 0.5) -> DataFrame:
     """Per document: tokens and characters of the text, its code and its formulas, and their ratios."""
     ship(docs.sparkSession)
@@ -56,3 +80,14 @@ def tokenize(docs: DataFrame, count=word_tokens, unknown: Column | None = None,
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     fert, unk = ratio("token_count", "char_count"), ratio("unk_count", "token_count")
     return d.select("*", F.round(fert, 6).alias("fertility"), F.round(unk, 6).alias("unk_rate"), F.round(ratio("code_token_count", "code_char_count"), 6).alias("code_fertility"), F.round(ratio("latex_token_count", "latex_char_count"), 6).alias("latex_fertility"), (unk > unk_threshold).alias("high_unk_rate"), (fert > fertility_threshold).alias("high_fertility"))
+
+
+def stats_and_tokens(docs: DataFrame, count=word_tokens, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Document statistics and token costs in one pass over the documents; ``extra`` adds columns of the caller's own."""
+    more = {k: v for k, v in (extra or {}).items()}
+    d = docs.select("*", F.struct("source", "url", "language", "timestamp", *(v.alias(k) for k, v in more.items())).alias("__own"))
+    ws = F.size(T.words(F.col("text"))).cast("long")
+    cost = tokenize(d.withColumn("doc_id", F.struct("doc_id", ws.alias("ws"), "__own")), count).withColumnRenamed("token_count", "tokenizer_count")
+    own = cost.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.ws").alias("token_count"), "doc_id.__own", *(c for c in cost.columns if c != "doc_id"))
+    blank = lambda c: F.coalesce(F.col(f"__own.{c}") == "", F.lit(True)).alias(f"missing_{c}")
+    return own.select(F.col("__id").alias("doc_id"), "token_count", T.length_bucket(F.col("token_count")).alias("length_bucket"), *(blank(c) for c in ("timestamp", "url", "language", "source")), *(c for c in cost.columns if c != "doc_id"), *(F.col(f"__own.{k}").alias(k) for k in more))

@@ -274,7 +274,7 @@ def semdedup(spark, sf_dir):
 _TOPK = f"WITH {_UNIT}, p AS (SELECT a.vec_id AS doc_id, b.vec_id AS item, b.label, round(list_inner_product(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.label <> 0 AND b.label = 0)"
 
 
-@query(f"{_TOPK} SELECT doc_id, round(max(c), 4) AS cos_max, 'item_' || arg_min(item, (-c, 'item_' || item)) AS matched_bench_id, 'label0' AS matched_benchmark, max(c) >= 0.4 AS is_semantic_contaminated FROM p GROUP BY 1")
+@query(f"{_TOPK} SELECT doc_id, round(max(c), 4) AS cos_max, 'item_' || arg_min(item, (-c, 'item_' || item)) AS matched_bench_id, 'label0' AS matched_benchmark, array_to_string(list_transform(list_slice(list_sort(list(struct_pack(n := -c, i := 'item_' || item))), 1, 5), lambda x: x.i), ',') AS top_ids, max(c) >= 0.4 AS is_semantic_contaminated FROM p GROUP BY 1")
 def embedding_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     items = e.where("label = 0").select(F.concat(F.lit("item_"), F.col("vec_id")).alias("bench_id"), F.lit("label0").alias("benchmark"), "embedding")
@@ -310,9 +310,8 @@ def contamination_exact_summary(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_verbatim(spark, sf_dir):
-    """Items that stand in a document word by word: a substring join with the checked-small side."""
-    b = contamination.small(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")))
-    return documents(spark, sf_dir).join(b, F.contains("text", F.col("t"))).select("doc_id", "item_id")
+    """Items that stand in a document word by word."""
+    return contamination.verbatim(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 _AB = dedup.permutations(128)
@@ -331,7 +330,7 @@ def _near_sql(windows: str, n_bands: int, rows: int, threshold: float) -> str:
     j AS (SELECT doc_id, bench_id, len(list_filter(list_zip(sd.sig, si.sig), lambda z: z[1] = z[2])) / {n_bands * rows} AS j FROM cd JOIN sd USING (doc_id, k) JOIN si USING (bench_id)),
     b AS (SELECT doc_id, max(j) AS j, arg_min(bench_id, (-j, bench_id)) AS bench_id FROM j WHERE j > 0 GROUP BY 1),
     nr AS (SELECT d.doc_id, coalesce(round(j, 4), 0.0) AS jaccard_max, coalesce(bench_id, '') AS matched_bench_id, CASE WHEN j IS NULL THEN '' ELSE 'bench' END AS matched_benchmark,
-           CASE WHEN j IS NULL THEN '' ELSE 'text' END AS matched_kind, coalesce(j, 0.0) >= {threshold} AS is_near_contaminated FROM documents d LEFT JOIN b USING (doc_id))"""
+           CASE WHEN j IS NULL THEN '' ELSE 'text' END AS matched_kind, CASE WHEN j IS NULL THEN '' ELSE 'bench=' || round(j, 4)::double::varchar END AS jaccard_max_per_benchmark, coalesce(j, 0.0) >= {threshold} AS is_near_contaminated FROM documents d LEFT JOIN b USING (doc_id))"""
 
 
 _WINDOWS = f"SELECT doc_id, k, substr(s, (k * 150 + 1)::bigint, 300) AS t FROM (SELECT doc_id, s, unnest(range(0, ceil(greatest(length(s) - 300, 0) / 150)::bigint + 1)) AS k FROM (SELECT doc_id, {_STRIP.format('text')} AS s FROM documents))"
@@ -340,29 +339,40 @@ NEAR_W = _near_sql(_WINDOWS, 32, 4, 0.85)
 
 @query(_near_sql(f"SELECT doc_id, 0 AS k, {_STRIP.format('text')} AS t FROM documents", 16, 8, 0.85) + " SELECT * FROM nr")
 def contamination_near(spark, sf_dir):
-    return contamination.near(documents(spark, sf_dir), bench(spark, sf_dir)).drop("jaccard_max_per_benchmark")
+    return contamination.near(documents(spark, sf_dir), bench(spark, sf_dir))
 
 
 @query(f"{NEAR_W} SELECT * FROM nr")
 def contamination_near_windows(spark, sf_dir):
-    return contamination.near(documents(spark, sf_dir), bench(spark, sf_dir), n_bands=32, rows=4, window=300, stride=150).drop("jaccard_max_per_benchmark")
+    return contamination.near(documents(spark, sf_dir), bench(spark, sf_dir), n_bands=32, rows=4, window=300, stride=150)
+
+
+def _vectors(spark, sf_dir):
+    """Embeddings of documents and of items: those of the table, by id."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
+    items = table(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("bench_id"), F.lit("bench").alias("benchmark"), "embedding")
+    return v.select(F.col("vec_id").alias("doc_id"), "embedding"), items
 
 
 def _layers(spark, sf_dir):
     d, b = documents(spark, sf_dir), bench(spark, sf_dir)
-    l1 = contamination.exact(d, b, SEP)
+    l1 = contamination.written(contamination.exact(d, b, SEP), "l1")
     l2 = contamination.written(contamination.near(d, b, n_bands=32, rows=4, window=300, stride=150), "l2")
-    # the stand-in of the third layer: the estimate itself, moved into the range of cosines
-    l3 = l2.where("jaccard_max >= 0.2 AND jaccard_max < 0.85").select("doc_id", F.round(0.5 + F.col("jaccard_max") / 2, 4).alias("cos"))
-    return contamination.cascade(l1, l2, l3)
+    vectors, items = _vectors(spark, sf_dir)
+    l3 = contamination.embed(vectors, items, candidates=contamination.pending(l1, l2)).withColumnRenamed("cos_max", "cos")
+    return contamination.cascade(l1, l2, l3, languages=d, english=("bench",), language="fr")
 
 
 _CASCADE = NEAR_W + ", " + CONT.removeprefix("WITH ") + """,
-    l AS (SELECT c.doc_id, is_exact_contaminated AS l1_doc_hit, has_para_contamination AS l1_para_hit, jaccard_max AS l2_jaccard_max, is_exact_contaminated OR has_para_contamination AS ex,
+    l AS (SELECT c.doc_id, is_exact_contaminated AS l1_doc_hit, has_para_contamination AS l1_para_hit, jaccard_max AS l2_jaccard_max, is_exact_contaminated OR has_para_contamination AS ex, matched_bench_id AS i2, matched_benchmark AS b2, nullif(matched_benchmarks, '') AS b1,
           NOT (is_exact_contaminated OR has_para_contamination) AND jaccard_max >= 0.2 AND jaccard_max < 0.85 AS l3_run FROM c JOIN nr ON nr.doc_id = c.doc_id),
-    v AS (SELECT *, CASE WHEN l3_run THEN round(0.5 + l2_jaccard_max / 2, 4) ELSE 0.0 END AS l3_cos_max FROM l),
+    un AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) AS u FROM embeddings),
+    cw AS (SELECT x.vec_id AS doc_id, 'bench_' || item_id AS item, round(list_sum(list_transform(list_zip(x.u, y.u), lambda z: z[1] * z[2])), 6) AS w FROM un x, benchmark JOIN un y ON y.vec_id = item_id WHERE x.vec_id IN (SELECT doc_id FROM l WHERE l3_run)),
+    cm AS (SELECT doc_id, max(w) AS w, arg_min(item, (-w, item)) AS item FROM cw GROUP BY 1),
+    v AS (SELECT l.*, CASE WHEN l3_run THEN coalesce(round(w, 4), 0.0) ELSE 0.0 END AS l3_cos_max, CASE WHEN l3_run THEN item END AS i3, lang FROM l LEFT JOIN cm ON cm.doc_id = l.doc_id JOIN documents d ON d.doc_id = l.doc_id),
     cs AS (SELECT doc_id, l1_doc_hit, l1_para_hit, l2_jaccard_max, l3_cos_max, l3_run, ex AS is_exact_contaminated, l2_jaccard_max >= 0.85 AS is_near_contaminated, l3_run AND l3_cos_max >= 0.85 AS is_semantic_contaminated,
-           CASE WHEN ex OR l2_jaccard_max >= 0.85 THEN 'red' WHEN l2_jaccard_max < 0.2 THEN 'green' WHEN l3_cos_max >= 0.85 THEN 'red' WHEN l3_cos_max >= 0.75 THEN 'yellow' ELSE 'green' END AS verdict FROM v)"""
+           CASE WHEN ex OR l2_jaccard_max >= 0.85 THEN 'red' WHEN l2_jaccard_max < 0.2 THEN 'green' WHEN l3_cos_max >= 0.85 THEN 'red' WHEN l3_cos_max >= 0.75 THEN 'yellow' ELSE 'green' END AS verdict,
+           coalesce(i3, nullif(i2, ''), '') AS matched_bench_id, coalesce(b1, nullif(b2, ''), CASE WHEN i3 IS NOT NULL THEN 'bench' END, '') AS matched_benchmark, verdict <> 'green' AND lang = 'fr' AND matched_benchmark = 'bench' AS is_cross_lingual FROM v)"""
 
 
 @query(f"{_CASCADE} SELECT * FROM cs")
@@ -558,7 +568,11 @@ def tokenization_by_language(spark, sf_dir):
     return d.groupBy("language").agg(F.count("*").alias("docs"), F.round(F.avg("f"), 6).alias("mean"), F.round(F.percentile("f", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("f", F.lit(0.95)), 6).alias("p95"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, text AS t, regexp_extract_all(text, '(?s)```.*?```') AS c, list_concat(regexp_extract_all(text, '(?s)\$\$.*?\$\$'), regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$', '', 'g'), '\$\$+', chr(1), 'g'), '\$[^$\n\x01]+\$'),
+       regexp_extract_all(text, '(?s)\\begin\{[^}]+\}.*?\\end\{[^}]+\}')) AS l FROM documents),
+       n AS (SELECT doc_id, length(array_to_string(c, ''))::bigint AS code_char_count, length(array_to_string(l, ''))::bigint AS latex_char_count, len(regexp_extract_all(array_to_string(c, chr(10)), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]'))::bigint AS code_token_count,
+             len(regexp_extract_all(array_to_string(l, chr(10)), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]'))::bigint AS latex_token_count FROM b)
+       SELECT *, coalesce(round(code_token_count / nullif(code_char_count, 0), 6), 0.0) AS code_fertility, coalesce(round(latex_token_count / nullif(latex_char_count, 0), 6), 0.0) AS latex_fertility FROM n""")
 def code_latex_spans(spark, sf_dir):
     return tokenization.tokenize(documents(spark, sf_dir)).select("doc_id", "code_char_count", "code_token_count", "code_fertility", "latex_char_count", "latex_token_count", "latex_fertility")
 
@@ -674,3 +688,6 @@ def control_compare(spark, sf_dir):
     m = merge.long_form(d, "quality").withColumn("dim", F.lit("stats"))
     expected = spark.createDataFrame([("stats", "chars", True), ("stats", "short", False)], "dim string, metric string, higher_is_better boolean")
     return merge.control_compare(m.where("quality = 1"), m.where("quality = 0"), expected)
+
+
+from . import extended  # noqa: E402, F401 - registers further queries

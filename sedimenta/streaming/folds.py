@@ -6,10 +6,14 @@ of documents, with bounded state.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import shared_dir
+from ..sources.sinks import write_shard
 
 
 def windowed_stats(docs: DataFrame, at: str = "ts", window: str = "1 day", late: str = "1 hour", key: str = "source") -> DataFrame:
@@ -33,3 +37,58 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     """Events by user and session of less than ``gap`` between neighbours."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
+
+
+def first_shingles(docs: DataFrame, n: int = 13, at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """``doc_id, shingle`` of word n-grams that weren't seen within the watermark: each document's share of what is new."""
+    s = docs.select("doc_id", at, F.explode(F.array_distinct(T.shingles(T.words(F.col("text")), n))).alias("s")).where("s <> ''")
+    return s.select("doc_id", at, F.xxhash64("s").alias("shingle")).withWatermark(at, late).dropDuplicatesWithinWatermark(["shingle"])
+
+
+def hash_reservoir(n: int, seed: int = 42, key: str = "doc_id"):
+    """(fold, result): a uniform sample of ``n`` of a stream, by the order of a hash.
+
+    ``fold(batch, batch_id)`` is for ``foreachBatch``: it merges a batch's ``n`` best with
+    those held so far, in the shared folder; ``result(spark)`` reads them.  Merging is
+    the same in any order, so shards can be folded apart and their samples merged.
+    """
+    state: dict[str, str] = {}
+
+    def best(df: DataFrame) -> DataFrame:
+        rank = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 16)
+        return df.withColumn("__r", rank).orderBy("__r", key).limit(n).drop("__r")
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        held = batch.sparkSession.read.parquet(state["at"]) if "at" in state else None
+        both = batch if held is None else held.unionByName(batch).dropDuplicates([key])
+        path = f"{shared_dir(batch.sparkSession).rstrip('/')}/reservoir-{uuid.uuid4().hex}"
+        best(both).write.parquet(path)
+        state["at"] = path
+
+    def result(spark) -> DataFrame:
+        return spark.read.parquet(state["at"])
+
+    return fold, result
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives until its input is used up, as a table of the shared folder."""
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if mode == "append":
+        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+    def last(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    stream.writeStream.outputMode(mode).foreachBatch(last).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def shards(docs: DataFrame, done: str, operator) -> None:
+    """Works off a stream of documents batch by batch, each a shard that is written once: a restart goes on behind the last."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        write_shard(operator(batch), done, f"{batch_id:06d}")
+
+    docs.writeStream.foreachBatch(step).option("checkpointLocation", f"{done.rstrip('/')}/_state").trigger(availableNow=True).start().awaitTermination()
