@@ -69,8 +69,9 @@ def spans(offsets: np.ndarray, space: np.ndarray, window: int | None, stride: in
         n = -(-np.maximum(e - s - window, 0) // stride) + 1
         row = np.repeat(row, n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        s, e = s[row] + k * stride, np.minimum(s[row] + k * stride + window, e[row])
-        s, e = np.minimum(after[s], e), np.maximum(before[e], s)
+        s, e = np.minimum(s[row] + k * stride, e[row]), np.minimum(s[row] + k * stride + window, e[row])
+        s = np.minimum(after[s], e)
+        e = np.maximum(before[e], s)
     some = e > s
     return row[some], k[some], s[some], e[some]
 
