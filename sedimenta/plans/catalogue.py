@@ -237,7 +237,8 @@ def minhash_bands(spark, sf_dir):
 
 @query(f"WITH {MINHASH} SELECT * FROM pp")
 def minhash_pairs(spark, sf_dir):
-    return dedup.minhash_pairs(dedup.written(dedup.minhash_signatures(documents(spark, sf_dir)), "signatures"))
+    """All pairs by the operator's definition with its bucket cap; ``minhash_links`` has none."""
+    return dedup.minhash_pairs(dedup.written(dedup.minhash_signatures(documents(spark, sf_dir)), "signatures"), bucket_cap=1000)
 
 
 @query(f"{CLUSTERS} SELECT * FROM z")
