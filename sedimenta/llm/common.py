@@ -69,13 +69,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SMALL_BYTES = 64 << 20
 
 
-def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
-    """``df`` (written before) to be broadcast if its values take at most ``most`` bytes; else as it is."""
+def fits(df: DataFrame, most: int = SMALL_BYTES) -> bool:
+    """Whether the values of ``df`` (written before) take at most ``most`` bytes."""
     fixed = 16 + sum({"string": 8, "binary": 8}.get(k, 16 if k.startswith("decimal") else 8) for _, k in df.dtypes)
     grows = [F.octet_length(c) if k in ("string", "binary") else F.size(c) * 16 for c, k in df.dtypes if k in ("string", "binary") or k.startswith(("array", "map"))]
     each = sum((F.coalesce(g, F.lit(0)) for g in grows), F.lit(fixed)).cast("long")
-    found = df.limit(most // fixed + 1).agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
-    return F.broadcast(df) if found <= most else df
+    return df.limit(most // fixed + 1).agg(F.coalesce(F.sum(each), F.lit(0))).first()[0] <= most
+
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df`` (written before) to be broadcast if its values take at most ``most`` bytes; else as it is."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def source_bytes(df: DataFrame) -> int:

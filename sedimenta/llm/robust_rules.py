@@ -29,12 +29,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import kernels as K
-from .common import fresh, key_of, small, streamed, written
+from .common import fits, fresh, key_of, small, streamed, written
 
 #: name, count, of which total, pseudo-counts; the first is a mean, the others are shares.
 RATES = (
@@ -218,20 +218,18 @@ def blended(vectors: DataFrame, est: DataFrame, pseudo: float) -> DataFrame:
 
 def _moments(df: DataFrame) -> DataFrame:
     """Sums by group of what ``_invert`` needs, around 0 (the statistics are of order 1)."""
-    return df.groupBy("unit").agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS))
+    return df.groupBy("unit").agg(F.count("*").cast("double").alias("n"), *(F.expr(f"sum({x}) AS s{i}") for i, x in enumerate(X)), *(F.expr(f"sum({X[i]} * {X[j]}) AS q{i}_{j}") for i, j in PAIRS))
 
 
-def _distance(df: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
-    """``df`` with the squared distance ``d2`` from its unit's centre; null without an estimate."""
-    d2: Column = F.lit(0.0)
-    for i, j in PAIRS:
-        d2 = d2 + F.col(f"p{i}_{j}") * (F.col(X[i]) - F.col(f"m{i}")) * (F.col(X[j]) - F.col(f"m{j}"))
-    return df.join(small(est), F.col("unit") == F.col("u2"), how).select(*df.columns, d2.alias("d2"))
+def _distance(df: DataFrame, est: DataFrame) -> DataFrame:
+    """``df`` with the squared distance ``d2`` from its unit's centre."""
+    d2 = F.expr(" + ".join(f"p{i}_{j} * ({X[i]} - m{i}) * ({X[j]} - m{j})" for i, j in PAIRS))
+    return df.join(est, F.col("unit") == F.col("u2")).select(*df.columns, d2.alias("d2"))
 
 
 def _quantiles(far: DataFrame, trusted: float) -> DataFrame:
     q = far.groupBy("unit").agg(F.percentile_approx("d2", F.array(F.lit(trusted), F.lit(0.5)), 10000).alias("q"))
-    return written(q.select(F.col("unit").alias("u3"), F.col("q")[0].alias("at_trusted"), F.col("q")[1].alias("at_half")), "quantiles")
+    return q.select(F.col("unit").alias("u3"), F.col("q")[0].alias("at_trusted"), F.col("q")[1].alias("at_half"))
 
 
 def _fit(near: DataFrame, share: float, floor: float) -> DataFrame:
@@ -257,18 +255,20 @@ def estimates(vectors: DataFrame, trusted: float = TRUSTED, floor: float = FLOOR
     apart = apart.groupBy("unit").agg(*(F.first(f"c{i}").alias(f"s{i}") for i in range(D)), *(F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"c{i}")), 0.5, 10000).alias(f"a{i}") for i in range(D)))
     start = apart.select("unit", F.lit(1.0).alias("n"), F.lit(1.0).alias("scale"), *(f"s{i}" for i in range(D)), *((F.col(f"s{i}") * F.col(f"s{j}") + (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else F.lit(0.0))).alias(f"q{i}_{j}") for i, j in PAIRS))
     est = written(start.mapInPandas(_invert(floor), _EST), "estimate")
+    # every later table by unit has these units, and no more columns: one check holds for all
+    sent = F.broadcast if fits(est) else lambda df: df
     for _ in range(steps):
-        far = _distance(vectors, est)
-        near = far.join(small(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where("d2 <= at_trusted")
+        far = _distance(vectors, sent(est))
+        near = far.join(sent(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where("d2 <= at_trusted")
         new = _fit(near, trusted, floor)
         before = est.select(F.col("u2").alias("u4"), F.col("logdet").alias("before"))
-        moved = new.join(small(before), F.col("u2") == F.col("u4")).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        moved = new.join(sent(before), F.col("u2") == F.col("u4")).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
         est = new
         if moved is None or moved < 1e-3:
             break
-    far = _distance(vectors, est)
+    far = _distance(vectors, sent(est))
     consistent = F.greatest(F.col("at_half") / chi2(0.5, D), F.lit(1.0)) * chi2(0.025, D)
-    return _fit(far.join(small(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where(F.col("d2") <= consistent), 0.975, floor)
+    return _fit(far.join(sent(_quantiles(far, trusted)), F.col("unit") == F.col("u3")).where(F.col("d2") <= consistent), 0.975, floor)
 
 
 def _judged(docs: DataFrame, tail: float, pseudo: float, trusted: float, floor: float, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -276,7 +276,7 @@ def _judged(docs: DataFrame, tail: float, pseudo: float, trusted: float, floor:
     vectors = written(_vectors(stats), "vectors")
     levels = vectors.select(F.explode(F.array("unit", "in_lang", F.lit("[]"))).alias("unit"), *X)
     est = blended(vectors, estimates(levels, trusted, floor), pseudo)
-    far = _distance(vectors, est).withColumn("distance", F.sqrt(F.greatest("d2", F.lit(0.0))))
+    far = _distance(vectors, small(est)).withColumn("distance", F.sqrt(F.greatest("d2", F.lit(0.0))))
     limit = math.sqrt(chi2(tail, D))
     columns = ["id", "tag", "lang", "source", "n_words", "distance", "keep"]
     found = far.withColumn("keep", F.col("distance") <= limit)
