@@ -114,7 +114,7 @@ def give_back() -> None:
         pass
 
 
-def by_shard(df: DataFrame, fn: Callable, schema: str, key: str = "shard") -> DataFrame:
+def by_shard(df: DataFrame, fn: Callable, schema: str, key: str | list[str] = "shard") -> DataFrame:
     """``fn(table) -> table`` on all rows of each shard."""
 
     def run(table: pa.Table) -> pa.Table:

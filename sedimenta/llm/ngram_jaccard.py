@@ -15,13 +15,20 @@ What keeps this far from quadratic, all of it exact:
 * A pair is counted only if it shares an n-gram of both prefixes (the first
   ``size - ceil(threshold * size) + 1`` n-grams in the global order), if the sizes
   are compatible, and if the n-grams that remain from there on can still reach the
-  overlap that the threshold asks for.
+  overlap that the threshold asks for.  An entity brings 128 bits, one or more of its
+  n-grams behind each that is set: bits of only one of a pair are n-grams of only one,
+  which bounds the overlap of short texts that share a phrase.
 * A pair goes only to the fragments in which both of its entities have a segment;
   pairs of a fragment that has many are spread over several tasks.
 
+* A large group of edited copies has as many pairs as the square of its entities.
+  First every n-gram of many entities compares all of them with its few central
+  ones; entities that such pairs link are a group.  Two entities of one group are
+  never a row: a group's links are counted in blocks, as products of 0-1 matrices
+  over all n-grams that its entities share, and only the counts leave a task.
+
 Within a fragment, n-grams of few entities give their pairs one by one; those of
-many (large groups of edited copies) are multiplied as blocks of 0-1 matrices.
-Nothing is capped.  Between stages the n-grams travel as packed arrays by
+many are multiplied as blocks of 0-1 matrices.  Nothing is capped.  Between stages the n-grams travel as packed arrays by
 (batch, shard), 5 bytes each, not as rows.  Two n-grams count as one if they
 fall into one shard and agree in 40 further bits of their hash (a shard of 8 MB of
 text has about a million: fewer than one expected false pair in it); two sets are
@@ -51,6 +58,10 @@ LEVELS = 16
 PAIRS_BY_TASK = 250_000
 #: N-grams of at most so many entities give their pairs one by one; others in tiles.
 FEW, TILE = 24, 512
+#: Central entities of an n-gram of many; entities from which on linked ones are a group.
+CENTRAL, GROUP = 4, 64
+#: N-grams of a block of a group; n-grams of at most so many entities of two blocks give their pairs one by one.
+BLOCK, RARE = 2_000_000, 8
 _SLACK = 1e-9
 
 
@@ -172,15 +183,17 @@ def layout(parts: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([max(1, parts >> k) for k in range(LEVELS)])])
 
 
-def _entities(table: pa.Table, columns: int) -> list[np.ndarray]:
-    """A fragment's segments (ids, count, then columns by n-gram), one of each entity (an id of several texts may bring an entity twice)."""
-    sig, count, *cols = _segments(table, 2 + columns)
+def _entities(table: pa.Table, columns: int, own: int = 0) -> list[np.ndarray]:
+    """A fragment's segments (ids, count, ``own`` columns by entity, columns by n-gram), one of each entity (an id of several texts may bring an entity twice)."""
+    sig, count, *cols = _segments(table, 2 + own + columns)
     count = count.astype(np.int64)
     _, first = np.unique(sig, return_index=True)
+    mine, cols = cols[:own], cols[own:]
     if len(first) < len(sig):
         at = ranges((np.cumsum(count) - count)[first], count[first])
+        mine = [c.reshape(len(sig), -1)[first].ravel() for c in mine]
         sig, count, cols = sig[first], count[first], [c.reshape(-1, len(c) // max(int(count.sum()), 1))[at].ravel() for c in cols]
-    return [sig, count, *cols]
+    return [sig, count, *mine, *cols]
 
 
 def _cut(threshold: float, parts: int):
@@ -219,6 +232,9 @@ def _cut(threshold: float, parts: int):
             order = np.lexsort((doc, frag))
             f_sorted = frag[order]
             edges = np.flatnonzero(np.r_[True, f_sorted[1:] != f_sorted[:-1]]) if len(order) else np.zeros(0, np.int64)
+            bits = np.zeros((len(ids), 128), bool)
+            bits[doc, (g & np.uint64(127)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1).view(np.uint64)
             seen = np.zeros((len(ids), width * 8), bool)
             for lo, hi in zip(edges, np.r_[edges[1:], len(order)]):
                 at, f = order[lo:hi], int(f_sorted[lo])
@@ -232,7 +248,7 @@ def _cut(threshold: float, parts: int):
                     n = np.diff(np.r_[new, len(d)]).astype(np.uint32)
                     out_k.append(kind)
                     out_f.append(f)
-                    out_p.append(pack(ids[who], n, low(g[of], 6)) if kind == 0 else pack(ids[who], n, low(g[of], 6), rest[of].astype(np.uint32), np.repeat(full[who], n).astype(np.uint32)))
+                    out_p.append(pack(ids[who], n, low(g[of], 6)) if kind == 0 else pack(ids[who], n, bits[who].ravel(), m[who].astype(np.uint32), low(g[of], 6), rest[of].astype(np.uint32), np.repeat(full[who], n).astype(np.uint32)))
             there = np.flatnonzero(seen.any(1))
             if len(there):
                 out_k.append(2)
@@ -252,17 +268,21 @@ def _directory(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(size.astype(np.int32)), bits.cast(pa.binary())], ["sig", "size", "in_frags"])
 
 
-def _spread(batches):
-    """Pairs to one row in each fragment that both are in."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1 << 14):
-            part = batch.slice(lo, 1 << 14)
-            if not part.num_rows:
-                continue
-            a, b = (K.buffers(part.column(c))[0].reshape(part.num_rows, -1) for c in ("fa", "fb"))
-            pair, frag = np.nonzero(np.unpackbits(a & b, axis=1))
-            cols = [part.column(c).take(pa.array(pair)) for c in ("a", "b", "size_a", "size_b")]
-            yield pa.RecordBatch.from_arrays([pa.array(frag.astype(np.int32)), *cols], ["frag", "a", "b", "size_a", "size_b"])
+def _spread(*flags: str):
+    """Rows to one in each fragment that all ``flags`` name; the other columns stay."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(lo, 1 << 14)
+                if not part.num_rows:
+                    continue
+                both = np.bitwise_and.reduce([K.buffers(part.column(c))[0].reshape(part.num_rows, -1) for c in flags])
+                row, frag = np.nonzero(np.unpackbits(both, axis=1))
+                names = [c for c in part.schema.names if c not in flags]
+                yield pa.RecordBatch.from_arrays([pa.array(frag.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in names)], ["frag", *names])
+
+    return run
 
 
 def _reach(threshold: float, s: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -287,14 +307,14 @@ def _one_by_one(g, doc, s, far, threshold: float, found) -> None:
         found(doc[x[fit]], doc[y[fit]])
 
 
-def _in_tiles(g, doc, size, threshold: float, found) -> None:
-    """Pairs that share an n-gram of many entities: products of tiles of the entity-by-n-gram matrix."""
+def _in_tiles(g, doc, size, label, threshold: float, found) -> None:
+    """Pairs that share an n-gram of many entities, but no group: products of tiles of the entity-by-n-gram matrix."""
     who, row = np.unique(doc, return_inverse=True)
     grams, col = np.unique(g, return_inverse=True)
-    # alike entities stand together: by the least of their n-grams
+    # alike entities stand together: by their group, then by the least of their n-grams
     least = np.full(len(who), len(grams), np.int64)
     np.minimum.at(least, row, col)
-    order = np.lexsort((who, least))
+    order = np.lexsort((who, least, label[who]))
     place = np.empty(len(who), np.int64)
     place[order] = np.arange(len(who))
     who, row = who[order], place[row]
@@ -307,9 +327,12 @@ def _in_tiles(g, doc, size, threshold: float, found) -> None:
         m = np.zeros((min(TILE, len(who) - k * TILE), len(used)), np.float32)
         m[row[cuts[k] : cuts[k + 1]] - k * TILE, local] = 1
         tiles.append((used, m))
-    sizes = size[who].astype(np.int64)
+    sizes, label = size[who].astype(np.int64), label[who]
     for i, (gi, mi) in enumerate(tiles):
+        one = label[i * TILE]
         for j in range(i, len(tiles)):
+            if one >= 0 and label[min((j + 1) * TILE, len(who)) - 1] == one:
+                continue
             gj, mj = tiles[j]
             both, pi, pj = np.intersect1d(gi, gj, assume_unique=True, return_indices=True)
             if not len(both):
@@ -321,40 +344,199 @@ def _in_tiles(g, doc, size, threshold: float, found) -> None:
             found(who[x[fit]], who[y[fit]])
 
 
-def _candidates(threshold: float):
-    """In a fragment: pairs that share a gram of both prefixes and pass the size and position bounds."""
+class _Found:
+    """Distinct pairs of places in ``sig`` that their bits allow; ``label`` names their groups (-1: none), two of one group are left out."""
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray, bits: np.ndarray, shared: np.ndarray, label: np.ndarray, threshold: float):
+        self.sig, self.size, self.bits, self.shared, self.label = sig, size, bits.reshape(-1, 2), shared.astype(np.int64), label
+        self.share, self.codes, self.held, self.done = threshold / (1 + threshold), [], 0, []
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> None:
+        differ = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64)
+        fit = (self.shared[x] + self.shared[y] - differ) // 2 >= _ceil(self.share * (self.size[x] + self.size[y]))
+        fit &= (self.label[x] != self.label[y]) | (self.label[x] < 0)
+        x, y = x[fit], y[fit]
+        self.codes.append(np.minimum(x, y) * len(self.sig) + np.maximum(x, y))
+        self.held += len(x)
+        if self.held > 1_500_000:
+            self.done.append(np.unique(np.concatenate(self.codes)))
+            self.codes, self.held = [], 0
+
+    def table(self) -> pa.Table:
+        parts, n = self.done + self.codes, max(len(self.sig), 1)
+        pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        a, b = self.sig[pairs // n].view(np.int64), self.sig[pairs % n].view(np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    def run(table: pa.Table) -> pa.Table:
-        sig, count, g, rest, s = _entities(table, 3)
-        g, rest, s = whole(g, 6), rest.astype(np.int64), s.astype(np.int64)
-        doc = np.repeat(np.arange(len(sig)), count)
-        size = np.zeros(len(sig), np.int64)
-        size[doc] = s
-        far = _reach(threshold, s, rest)
-        ok = far >= _ceil(threshold * s)
-        g, doc, s, far = g[ok], doc[ok], s[ok], far[ok]
-        order = np.lexsort((s, g))
-        g, doc, s, far = g[order], doc[order], s[order], far[order]
-        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.r_[edge, len(g)]), np.diff(np.r_[edge, len(g)])) if len(g) else edge
-        codes, held, done = [], [0], []
 
-        def found(x: np.ndarray, y: np.ndarray) -> None:
-            codes.append(np.minimum(x, y) * len(sig) + np.maximum(x, y))
-            held[0] += len(x)
-            if held[0] > 1_500_000:
-                done.append(np.unique(np.concatenate(codes)))
-                codes.clear()
-                held[0] = 0
+def _prefixes(table: pa.Table, threshold: float):
+    """A fragment's prefixes, ordered by n-gram and size: ((signatures, their sizes, bits, n-grams that others have), then by n-gram: itself, entity, size, reach, n-grams ahead, entities that have it)."""
+    sig, count, bits, shared, g, rest, s = _entities(table, 3, 2)
+    g, rest, s = whole(g, 6), rest.astype(np.int64), s.astype(np.int64)
+    doc = np.repeat(np.arange(len(sig)), count)
+    size = np.zeros(len(sig), np.int64)
+    size[doc] = s
+    far = _reach(threshold, s, rest)
+    ok = np.flatnonzero(far >= _ceil(threshold * s))
+    order = ok[np.lexsort((s[ok], g[ok]))]
+    g, doc, s, far, ahead = g[order], doc[order], s[order], far[order], (s - rest)[order]
+    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    df = np.repeat(np.diff(np.r_[edge, len(g)]), np.diff(np.r_[edge, len(g)])) if len(g) else edge
+    return (sig, size, bits, shared), g, doc, s, far, ahead, df
+
 
+def _candidates(threshold: float):
+    """In a fragment: pairs that share a gram of both prefixes, but no group, and pass the size and position bounds."""
+
+    def run(table: pa.Table, groups: pa.Table | None = None) -> pa.Table:
+        who, g, doc, s, far, _, df = _prefixes(table, threshold)
+        sig, size = who[:2]
+        label = np.full(len(sig), -1)
+        if groups is not None and groups.num_rows and len(sig):
+            of = groups.column("sig").to_numpy().view(np.uint64)
+            order = np.argsort(of)
+            at = order[np.minimum(np.searchsorted(of, sig, sorter=order), len(of) - 1)]
+            _, number = np.unique(groups.column("grp").to_numpy(), return_inverse=True)
+            label = np.where(of[at] == sig, number[at], -1)
+        found = _Found(*who, label, threshold)
         few = (df > 1) & (df <= FEW)
         if few.any():
             _one_by_one(g[few], doc[few], s[few], far[few], threshold, found)
         if (df > FEW).any():
-            _in_tiles(g[df > FEW], doc[df > FEW], size, threshold, found)
-        pairs = np.unique(np.concatenate(done + codes)) if done or codes else np.zeros(0, np.int64)
-        a, b = sig[pairs // max(len(sig), 1)].view(np.int64), sig[pairs % max(len(sig), 1)].view(np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            _in_tiles(g[df > FEW], doc[df > FEW], size, label, threshold, found)
+        return found.table()
+
+    return run
+
+
+def _outside(threshold: float):
+    """As ``_candidates``, with a fragment's entities in groups."""
+    run = _candidates(threshold)
+
+    def outside(key, groups: pa.Table, table: pa.Table) -> pa.Table:
+        try:
+            return run(table, groups) if table.num_rows else pa.table({c: pa.array([], pa.int64()) for c in "ab"})
+        finally:
+            give_back()
+
+    return outside
+
+
+def _central(threshold: float):
+    """In a fragment: pairs of the central entities of each gram of many, those with fewest rarer grams, with all that have it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        who, g, doc, s, _, ahead, df = _prefixes(table, threshold)
+        sig = who[0]
+        found = _Found(*who, np.full(len(sig), -1), threshold)
+        many = np.flatnonzero(df > FEW)
+        many = many[np.lexsort((sig[doc[many]], ahead[many] / s[many], g[many]))]
+        g, doc, s = g[many], doc[many], s[many]
+        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+        first = np.repeat(edge, np.diff(np.r_[edge, len(g)]))
+        for lo in range(0, len(g), 500_000):
+            x = np.arange(lo, min(lo + 500_000, len(g)))
+            for k in range(CENTRAL):
+                y = first[x] + k
+                fit = (doc[x] != doc[y]) & (np.minimum(s[x], s[y]) >= _ceil(threshold * np.maximum(s[x], s[y])))
+                found(doc[x[fit]], doc[y[fit]])
+        return found.table()
+
+    return run
+
+
+def _gather(key, who: pa.Table, table: pa.Table) -> pa.Table:
+    """In a fragment: the segments of entities in groups, by block."""
+    out_g, out_b, out_p = [], [], []
+    if who.num_rows and table.num_rows:
+        sig, count, g = _entities(table, 1)
+        starts, salt = np.cumsum(count) - count, K.mix(np.array([key[0].as_py() + 1], np.uint64))
+        g = K.mix(whole(g, 6) ^ salt)
+        of = who.column("sig").to_numpy().view(np.uint64)
+        size, copies, grp, block = (who.column(c).to_numpy() for c in ("size", "copies", "grp", "block"))
+        order = np.argsort(sig)
+        at = order[np.minimum(np.searchsorted(sig, of, sorter=order), len(sig) - 1)]
+        here = np.flatnonzero(sig[at] == of)
+        here = here[np.lexsort((block[here], grp[here]))]
+        new = np.flatnonzero(np.r_[True, (grp[here][1:] != grp[here][:-1]) | (block[here][1:] != block[here][:-1])]) if len(here) else here
+        for lo, hi in zip(new, np.r_[new[1:], len(here)]):
+            w = here[lo:hi]
+            n = count[at[w]]
+            out_g.append(int(grp[w[0]]))
+            out_b.append(int(block[w[0]]))
+            out_p.append(pack(of[w], n, size[w].astype(np.int64), copies[w], low(g[ranges(starts[at[w]], n)], 7)))
+    give_back()
+    return pa.table({"grp": pa.array(out_g, pa.int64()), "block": pa.array(out_b, pa.int32()), "payload": pa.array(out_p, pa.binary())})
+
+
+def _inside(threshold: float):
+    """In two blocks of a group: (sig, n), the documents of the other block that an entity is linked to; ``i`` = ``j``: of its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = (table.column(c)[0].as_py() for c in "ij")
+        sig, count, size, copies, keys = _segments(table, 5)
+        at_right = np.repeat(table.column("block").to_numpy() != i, [len(unpack(v.as_buffer())[0]) for v in table.column("payload")])
+        _, first, entity = np.unique(sig, return_index=True, return_inverse=True)
+        order = np.argsort(at_right[first], kind="stable")  # entities of block i come first
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        first = first[order]
+        total, left = len(first), int((~at_right[first]).sum())
+        sig, size, copies = sig[first], size[first].astype(np.float64), copies[first].astype(np.float64)
+        row = np.repeat(place[entity], count)
+        _, col = np.unique(whole(keys, 7), return_inverse=True)
+        df = np.bincount(col)
+        begin = np.r_[np.arange(0, left, TILE), np.arange(left, total, TILE)]
+        end = np.minimum(begin + TILE, np.where(begin < left, left, total))
+        tile = np.repeat(np.arange(len(begin)), end - begin)
+        # n-grams of few entities: their pairs, ordered by tiles
+        rare = np.flatnonzero((df[col] > 1) & (df[col] <= RARE))
+        rare = rare[np.lexsort((row[rare], col[rare]))]
+        edge = np.flatnonzero(np.r_[True, col[rare][1:] != col[rare][:-1]]) if len(rare) else rare
+        n = np.repeat(np.r_[edge[1:], len(rare)], np.diff(np.r_[edge, len(rare)])).astype(np.int64) - np.arange(len(rare)) - 1
+        x, y = row[rare[np.repeat(np.arange(len(rare)), n)]], row[rare[ranges(np.arange(len(rare)) + 1, n)]]
+        if i != j:
+            apart = (x < left) & (y >= left)
+            x, y = x[apart], y[apart]
+        codes, times = np.unique(x * total + y, return_counts=True)
+        x, y = codes // total, codes % total
+        pair = tile[x] * len(begin) + tile[y]
+        by = np.argsort(pair, kind="stable")
+        x, y, times, pair = x[by], y[by], times[by], pair[by]
+        # all others: by tile, its columns and their entries
+        often = np.flatnonzero(df[col] > RARE)
+        often = often[np.argsort(row[often], kind="stable")]
+        cuts = np.searchsorted(row[often], np.r_[begin, total])
+        tiles = []
+        for k in range(len(begin)):
+            own = often[cuts[k] : cuts[k + 1]]
+            tiles.append((*np.unique(col[own], return_inverse=True), row[own] - begin[k]))
+
+        def matrix(k: int, places: np.ndarray) -> np.ndarray:
+            used, local, rows = tiles[k]
+            to = np.full(len(used), -1)
+            to[places] = np.arange(len(places))
+            c = to[local]
+            m = np.zeros((end[k] - begin[k], len(places)), np.float32)
+            m[rows[c >= 0], c[c >= 0]] = 1
+            return m
+
+        links = np.zeros(total)
+        lefts = int((begin < left).sum())
+        for a in range(lefts):
+            for b in range(a, lefts) if i == j else range(lefts, len(begin)):
+                both, pa_, pb = np.intersect1d(tiles[a][0], tiles[b][0], assume_unique=True, return_indices=True)
+                lo, hi = np.searchsorted(pair, [a * len(begin) + b, a * len(begin) + b + 1])
+                if not len(both) and lo == hi:
+                    continue
+                common = (matrix(a, pa_) @ matrix(b, pb).T).astype(np.float64)
+                common[x[lo:hi] - begin[a], y[lo:hi] - begin[b]] += times[lo:hi]
+                linked = common >= threshold * (size[begin[a] : end[a], None] + size[None, begin[b] : end[b]] - common) - _SLACK
+                linked = (np.triu(linked, 1) if a == b else linked).astype(np.float64)
+                links[begin[a] : end[a]] += linked @ copies[begin[b] : end[b]]
+                links[begin[b] : end[b]] += copies[begin[a] : end[a]] @ linked
+        some = links > 0
+        return pa.table({"sig": sig[some].view(np.int64), "n": links[some].astype(np.int64)})
 
     return run
 
@@ -402,14 +584,13 @@ def _overlaps(key, pairs: pa.Table, table: pa.Table) -> pa.Table:
     return out
 
 
-def _counted(candidates: DataFrame, cut: DataFrame) -> DataFrame:
-    """``candidates(a, b)`` with the sizes of both and their common n-grams, counted fragment by fragment and summed."""
-    who = streamed(cut.where("kind = 2").select("payload"), _directory, "sig long, size int, in_frags binary")
-    who = who.groupBy("sig").agg(F.first("size").alias("size"), F.first("in_frags").alias("in_frags"))
+def _counted(candidates: DataFrame, cut: DataFrame, who: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``candidates(a, b)`` that reach the threshold, with the sizes of both and their common n-grams, counted fragment by fragment and summed."""
     pairs = candidates
     for c in "ab":
         pairs = pairs.join(who.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("in_frags").alias(f"f{c}")), c)
-    spread = written(streamed(pairs, _spread, "frag int, a long, b long, size_a int, size_b int"), "spread")
+    pairs = pairs.select("a", "b", "size_a", "size_b", "fa", "fb")
+    spread = written(streamed(pairs, _spread("fa", "fb"), "frag int, a long, b long, size_a int, size_b int"), "spread")
     tasks = spread.groupBy(F.col("frag").alias("of")).agg(F.ceil(F.count("*") / PAIRS_BY_TASK).cast("int").alias("tasks")).where("tasks > 1")
     tasks = F.broadcast(written(tasks, "tasks"))  # a row for some fragments at most
     salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("tasks", F.lit(1)).cast("long")).cast("int")
@@ -417,11 +598,13 @@ def _counted(candidates: DataFrame, cut: DataFrame) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))
     right = cut.where("kind = 0").join(tasks, F.col("frag") == F.col("of"), "left").select("frag", every.alias("task"), "payload")
     parts = left.groupBy("frag", "task").cogroup(right.groupBy("frag", "task")).applyInArrow(_overlaps, _PART)
-    return parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").cast("long").alias("common"))
+    pairs = parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").cast("long").alias("common"))
+    pairs = pairs.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - _SLACK)
+    return written(pairs.select("a", "b", "common", "size_a", "size_b"), "pairs")
 
 
-def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): ``members(id, sig, size)`` and the pairs ``(a, b, common, size_a, size_b)`` of signatures that reach the threshold."""
+def _segmented(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, ranges_: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, cut, who): ``members(id, sig, size)``, the rows of ``_cut``, and ``who(sig, size, in_frags)`` of entities that may have a partner."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     base = pick(docs, id_col, text_col)
@@ -435,10 +618,47 @@ def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     home = by_shard(packed, _frequencies, "of int, batch long, payload binary")
     parts = ranges_ or max(2, -(-shards // SHARDS_BY_RANGE))
     cut = written(by_shard(home, _cut(threshold, parts), "kind int, frag int, payload binary", "batch"), "segments")
+    who = streamed(cut.where("kind = 2").select("payload"), _directory, "sig long, size int, in_frags binary")
+    return members, cut, written(who.groupBy("sig").agg(F.first("size").alias("size"), F.first("in_frags").alias("in_frags")), "directory")
+
+
+def entity_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): ``members(id, sig, size)`` and all pairs ``(a, b, common, size_a, size_b)`` of signatures that reach the threshold."""
+    members, cut, who = _segmented(docs, n, threshold, id_col, text_col, ranges_)
     candidates = by_shard(cut.where("kind = 1"), _candidates(threshold), "a long, b long", "frag").distinct()
-    pairs = _counted(candidates, cut)
-    pairs = pairs.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - _SLACK)
-    return members, written(pairs.select("a", "b", "common", "size_a", "size_b"), "pairs")
+    return members, _counted(candidates, cut, who, threshold)
+
+
+def grouped_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, pairs, bonds, inside): as ``entity_pairs``, but without the pairs within groups.
+
+    ``bonds(a, b)`` are pairs, some of them of ``pairs`` too, that connect each group;
+    ``inside(sig, n)`` is the number of documents of an entity's own group that it is
+    linked to.  Sets of an id that has several are in no group.
+    """
+    members, cut, who = _segmented(docs, n, threshold, id_col, text_col, ranges_)
+    central = by_shard(cut.where("kind = 1"), _central(threshold), "a long, b long", "frag").distinct()
+    bonds = _counted(central, cut, who, threshold).select("a", "b")
+    root = components(bonds.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    large = root.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= GROUP).select(F.col("root").alias("grp"))
+    several = members.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    odd = members.join(several, "id").select("sig").distinct()
+    grouped = root.join(large, F.col("root") == F.col("grp")).select(F.col("node").alias("sig"), "grp").join(odd, "sig", "left_anti")
+    copies = members.groupBy("sig").agg(F.count("*").alias("copies"))
+    grouped = written(grouped.join(copies, "sig").join(who, "sig").select("sig", "size", "copies", "grp", "in_frags"), "groups")
+    blocks = grouped.groupBy(F.col("grp").alias("of")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    found = grouped.join(blocks, F.col("grp") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks").cast("long")).cast("int"))
+    found = found.select("sig", "size", "copies", "grp", "block", "in_frags")
+    found = written(streamed(found, _spread("in_frags"), "frag int, sig long, size int, copies long, grp long, block int"), "grouped")
+    candidates = found.select("frag", "sig", "grp").groupBy("frag").cogroup(cut.where("kind = 1").groupBy("frag")).applyInArrow(_outside(threshold), "a long, b long").distinct()
+    pairs = _counted(candidates, cut, who, threshold)
+    segments = found.groupBy("frag").cogroup(cut.where("kind = 0").select("frag", "payload").groupBy("frag")).applyInArrow(_gather, "grp long, block int, payload binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sides = segments.join(blocks, F.col("grp") == F.col("of")).select("grp", "block", "payload", other)
+    sides = sides.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "payload")
+    inside = by_shard(sides, _inside(threshold), "sig long, n long", ["grp", "i", "j"]).groupBy("sig").agg(F.sum("n").alias("n"))
+    return members, pairs, bonds, inside
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ranges_: int | None = None) -> DataFrame:
@@ -457,7 +677,7 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     table gives an empty result.  Ids that aren't whole numbers stand in the order of
     their hashes.
     """
-    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col, ranges_)
+    members, pairs, bonds, inside = grouped_pairs(docs, n, threshold, id_col, text_col, ranges_)
     sets = members.groupBy("id").agg(F.count("*").alias("k"))
     odd = members.join(small(written(sets.where("k > 1").select(F.col("id").alias("__i")), "several")), F.col("id") == F.col("__i")).select("id", "sig")
     odd = written(odd, "odd")  # ids of several sets
@@ -465,7 +685,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     copies = regular.groupBy("sig").agg(F.count("*").alias("copies"))
     own = members.select(F.col("sig").alias("s"), F.col("sig").alias("t")).distinct()
     near = pairs.select(F.col("a").alias("s"), F.col("b").alias("t")).unionByName(pairs.select(F.col("b").alias("s"), F.col("a").alias("t"))).unionByName(own)
-    per = near.join(copies.withColumnRenamed("sig", "t"), "t").groupBy("s").agg(F.sum("copies").alias("of_one"))
+    per = near.join(copies.withColumnRenamed("sig", "t"), "t").select("s", "copies").unionByName(inside.select(F.col("sig").alias("s"), F.col("n").alias("copies")))
+    per = per.groupBy("s").agg(F.sum("copies").alias("of_one"))
     strange = near.join(odd.select(F.col("sig").alias("t"), F.col("id").alias("z")), "t").select("s", "z").distinct()
     links = regular.join(per.withColumnRenamed("s", "sig"), "sig", "left").join(strange.groupBy("s").agg(F.count("*").alias("of_more")).withColumnRenamed("s", "sig"), "sig", "left")
     links = links.select("id", (F.coalesce("of_one", F.lit(0)) + F.coalesce("of_more", F.lit(0)) - 1).alias("n"))
@@ -473,7 +694,7 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     reached = mine.join(near, "s").select("id", "t").distinct().join(copies.withColumnRenamed("sig", "t"), "t").groupBy("id").agg(F.sum("copies").alias("n"))
     others = mine.join(strange, "s").where("z <> id").select("id", "z").distinct().groupBy("id").agg(F.count("*").alias("n"))
     links = links.unionByName(reached.select("id", "n")).unionByName(others).groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
-    out = pick(docs, id_col, text_col).select("id").distinct().join(links, "id", "left").join(_roots(members, pairs), "id", "left")
+    out = pick(docs, id_col, text_col).select("id").distinct().join(links, "id", "left").join(_roots(members, pairs.select("a", "b").unionByName(bonds)), "id", "left")
     out = out.select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return named(out, docs, id_col, "doc_id", "class_id")
 
@@ -531,8 +752,8 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     that share an id stay or go together.
     """
     (name,) = fresh(docs, "id")
-    members, pairs = entity_pairs(docs, n, threshold, id_col, text_col)
-    gone = _roots(members, pairs).where("root < id").select(F.col("id").alias(name))
+    members, pairs, bonds, _ = grouped_pairs(docs, n, threshold, id_col, text_col)
+    gone = _roots(members, pairs.select("a", "b").unionByName(bonds)).where("root < id").select(F.col("id").alias(name))
     return docs.join(small(written(gone, "near-duplicates")), key_of(docs, id_col) == F.col(name), "left_anti")
 
 

@@ -268,6 +268,66 @@ def test_pairs_of_a_full_fragment_are_spread(spark, monkeypatch):
     assert classes_of(d, 2, 0.4) == brute_classes(d.collect(), 2, 0.4)
 
 
+def edited_copies(rng, n: int, edits: int, size: int = 60) -> list[str]:
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(size)] = rng.choice(["the", "of", f"x{rng.randrange(10**6)}"])
+        out.append(" ".join(w))
+    return out
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    rng = random.Random(21)
+    one, two = edited_copies(rng, 300, 7), edited_copies(rng, 90, 4, 30)
+    texts = one + two + one[:40] + [words(rng, 20) for _ in range(30)] + [f"{one[0]} {two[0]}"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(5, two[3], "en", "s", 0), (len(texts), one[7], "en", "s", 0), (len(texts), words(rng, 9), "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    many, plain = [0], ngram_jaccard.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        many[0] += out.count() if name in ("spread", "pairs") else 0
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", counted)
+    got = classes_of(d)
+    assert got == brute_classes(d.collect(), 3, 0.5)
+    links = sum(k for _, k in got.values()) // 2
+    assert links > 30_000 and many[0] < links
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_links_in_blocks_of_a_group(monkeypatch, threshold, tile):
+    monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    sets = [sorted(gram_set(t, 3)) for t in edited_copies(rng, 150, 9)]
+    ids = {g: k for k, g in enumerate(sorted({g for s in sets for g in s}))}
+    copies = [1 + k % 3 for k in range(len(sets))]
+    sig = [(k * 7919 + 1) << 20 for k in range(len(sets))]
+    block = [k % 2 for k in range(len(sets))]
+
+    def rows(b):
+        w = [k for k in range(len(sets)) if block[k] == b]
+        half = lambda f: [[ids[g] for g in sets[k] if ids[g] % 2 == f] for k in w]
+        return [ngram_jaccard.pack(np.array([sig[k] for k in w], np.uint64), np.array([len(x) for x in half(f)]), np.array([len(sets[k]) for k in w]), np.array([copies[k] for k in w]), ngram_jaccard.low(np.array(sum(half(f), []), np.uint64), 7)) for f in (0, 1)]
+
+    got = {}
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        payloads = [(b, p) for b in sorted({i, j}) for p in rows(b)]
+        t = ngram_jaccard._inside(threshold)(pa.table({"i": [i] * len(payloads), "j": [j] * len(payloads), "block": pa.array([b for b, _ in payloads], pa.int32()), "payload": pa.array([p for _, p in payloads], pa.binary())}))
+        for s, n in zip(t.column("sig").to_pylist(), t.column("n").to_pylist()):
+            got[s] = got.get(s, 0) + n
+    near = lambda a, b: len(set(a) & set(b)) >= threshold * len(set(a) | set(b)) - 1e-9
+    want = {sig[x]: sum(copies[y] for y in range(len(sets)) if x != y and near(sets[x], sets[y])) for x in range(len(sets))}
+    assert got == {s: n for s, n in want.items() if n}
+
+
 # ------------------------------------------------------------------ 3 language model
 
 
