@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions.session import shared_dir
+from ..ship import ship
 from ..sources.sinks import write_shard
 
 
@@ -45,6 +49,55 @@ def first_shingles(docs: DataFrame, n: int = 13, at: str = "ts", late: str = "1
     return s.select("doc_id", at, F.xxhash64("s").alias("shingle")).withWatermark(at, late).dropDuplicatesWithinWatermark(["shingle"])
 
 
+#: Parts by which shingles are kept: a part of a batch is held in memory at a time.
+SHARDS = 512
+
+
+def _packed_shingles(n: int):
+    """Texts to (shard, hashes of distinct shingles as bytes); a shard is a range of hashes."""
+    cuts = (np.arange(1, SHARDS, dtype=np.uint64) << np.uint64(64 - (SHARDS - 1).bit_length())).astype(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = A.raw(batch.column("t"))
+            found = [A.distinct(A.word_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)) for lo, hi in A.parts(offsets)]
+            h = A.distinct(np.concatenate([np.zeros(0, np.uint64), *found]))
+            parts = [(i, x.tobytes()) for i, x in enumerate(np.split(h, np.searchsorted(h, cuts))) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["shard", "hashes"])
+
+    return run
+
+
+def _united(table: pa.Table) -> np.ndarray:
+    return A.distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]))
+
+
+def shingle_runs(n: int = 13, text: str = "text"):
+    """(fold, result): the distinct word n-grams of all of a stream, by 64-bit hashes.
+
+    ``first_shingles`` keeps what was seen within the watermark in the executors'
+    memory; without lateness to forget by, that is all shingles.  Here ``fold(batch,
+    batch_id)``, for ``foreachBatch``, leaves a batch's distinct ones in the shared
+    folder, packed by shards, and ``result(spark)`` unites them shard by shard:
+    ``shingle``.  A batch that is repeated replaces its first run.
+    """
+    runs: dict[int, str] = {}
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        ship(batch.sparkSession)
+        path = f"{shared_dir(batch.sparkSession).rstrip('/')}/shingles-{uuid.uuid4().hex}"
+        one = lambda t: pa.table({"shard": t.column("shard")[:1], "hashes": pa.array([_united(t).tobytes()], pa.binary())})
+        packs = batch.select(F.col(text).cast("string").alias("t")).mapInArrow(_packed_shingles(n), "shard int, hashes binary")
+        packs.groupBy("shard").applyInArrow(one, "shard int, hashes binary").write.parquet(path)
+        runs[batch_id] = path
+
+    def result(spark) -> DataFrame:
+        held = spark.read.schema("shard int, hashes binary").parquet(*runs.values()) if runs else spark.createDataFrame([], "shard int, hashes binary")
+        return held.groupBy("shard").applyInArrow(lambda t: pa.table({"shingle": _united(t).view(np.int64)}), "shingle long")
+
+    return fold, result
+
+
 def hash_reservoir(n: int, seed: int = 42, key: str = "doc_id"):
     """(fold, result): a uniform sample of ``n`` of a stream, by the order of a hash.
 

@@ -16,6 +16,7 @@ from sedimenta.functions import arrays, rules
 from sedimenta.functions import text as T
 from sedimenta.operators import cleaning, contamination, decisions, dedup, domain, merge, safety, tokenization
 from sedimenta.sources import reader, sinks
+from sedimenta.streaming import folds
 
 DOCS = "doc_id long, text string, source string, url string, timestamp string, language string"
 
@@ -404,6 +405,18 @@ def test_minima_of_few_windows_are_computed(monkeypatch):
     assert {(int(r), int(i)) for row, item, _ in found for r, i in zip(row, item)} == {(40, 3)} and len(set(seen)) < 10
 
 
+def test_distinct_shingles_of_a_stream(spark, tmp_path):
+    texts = ["a b c d e", "b c\td\n e  f", "x", " x ", "", None, "ü b c", "c d e"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    d.repartition(4).write.parquet(str(tmp_path / "in"))
+    fold, result = folds.shingle_runs(3)
+    spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(fold).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want = {" ".join(w[i : i + 3]) for w in ((t or "").split() for t in texts) for i in range(max(1, len(w) - 2)) if w}
+    assert result(spark).count() == len(want) == 6
+    fold(d, 0)  # a repeated batch replaces its run
+    assert result(spark).count() == 6
+
+
 def test_shingle_digests_are_those_of_the_expression(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PIECE", 7)
     han = "中文文本没有空格所以按字符切分成片段" * 3
