@@ -95,17 +95,25 @@ def langid(docs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
 
     Ties go to the language first in the alphabet; a text without stop words is ``unknown``.
     """
-    ws = F.transform(T.words(F.col("text")), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    within = lambda stops: F.size(F.filter("ws", lambda w: w.isin(*stops.split())))
-    counts = [within(p).alias(k) for k, p in PROFILES.items()]
-    df = docs.select("doc_id", "language", ws.alias("ws")).select("doc_id", "language", *counts)
+    return _identified(_counted(docs, False), min_confidence)
+
+
+def _counted(docs: DataFrame, scripts: bool) -> DataFrame:
+    """(doc_id, language) with stop words by language and, if asked for, the script of most letters and whether there is a word at all; one walk over each text."""
+    ship(docs.sparkSession)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id", "language").schema]
+    more = ["script string", "blank boolean"] if scripts else []
+    return docs.select("doc_id", "language", F.col("text").cast("string").alias("text")).mapInArrow(R.languages(PROFILES, SCRIPTS if scripts else ()), ", ".join([*fields, *(f"{k} long" for k in PROFILES), *more]))
+
+
+def _identified(df: DataFrame, min_confidence: float, *more: str) -> DataFrame:
     total = sum((F.col(k) for k in PROFILES), F.lit(0))
     ranked = F.sort_array(F.array(*(F.struct((-F.col(k)).alias("n"), F.lit(k).alias("k")) for k in PROFILES)))
-    df = df.select("doc_id", "language", total.alias("total"), ranked.alias("r"))
+    df = df.select("doc_id", "language", *more, total.alias("total"), ranked.alias("r"))
     conf = F.when(F.col("total") > 0, F.round(-F.col("r")[0]["n"] / F.col("total"), 4)).otherwise(0.0)
     lang = F.when(F.col("total") > 0, F.col("r")[0]["k"]).otherwise("unknown")
     top3 = F.array_join(F.transform(F.slice("r", 1, 3), lambda x: x["k"]), ",")
-    return df.select("doc_id", lang.alias("lang"), conf.alias("confidence"), F.when(F.col("total") > 0, top3).otherwise("").alias("top3"), F.coalesce((F.col("language") != "") & (F.lower("language") != lang), F.lit(False)).alias("lang_mismatch"), (conf < min_confidence).alias("low_confidence"))
+    return df.select("doc_id", *more, lang.alias("lang"), conf.alias("confidence"), F.when(F.col("total") > 0, top3).otherwise("").alias("top3"), F.coalesce((F.col("language") != "") & (F.lower("language") != lang), F.lit(False)).alias("lang_mismatch"), (conf < min_confidence).alias("low_confidence"))
 
 
 SCRIPTS = (("Hani", r"\p{IsHan}"), ("Hira", r"[\p{IsHiragana}\p{IsKatakana}]"), ("Hang", r"\p{IsHangul}"), ("Cyrl", r"\p{IsCyrillic}"), ("Arab", r"\p{IsArabic}"), ("Deva", r"\p{IsDevanagari}"), ("Grek", r"\p{IsGreek}"), ("Latn", r"\p{IsLatin}"))
@@ -118,19 +126,15 @@ def glotlid(docs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     The script is that of most letters; the language that of ``langid`` where the
     script is Latin, else the script's own.
     """
-    text = F.coalesce("text", F.lit(""))
-    n = [F.struct((-F.length(F.regexp_replace(text, f"(?!{p}).", ""))).alias("n"), F.lit(s).alias("s")) for s, p in SCRIPTS]
     own = {"Hani": "zho", "Hira": "jpn", "Hang": "kor", "Cyrl": "rus", "Arab": "ara", "Deva": "hin", "Grek": "ell"}
-    base = langid(docs, min_confidence).select(F.col("doc_id").alias("d2"), "lang", "confidence", F.col("top3").alias("t3"))
-    scripts = docs.select("doc_id", F.array_min(F.array(*n)).alias("m"), (T.strip(text) == "").alias("blank"))
-    df = scripts.join(base, scripts.doc_id == base.d2)
+    df = _identified(_counted(docs, True), min_confidence, "script", "blank")
     macro = F.create_map(*(F.lit(x) for kv in MACRO.items() for x in kv))
     mine = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
-    latin = F.col("m.s") == "Latn"
-    code = F.when(latin, F.coalesce(F.try_element_at(macro, F.col("lang")), F.lit("und"))).otherwise(F.try_element_at(mine, F.col("m.s")))
-    none = F.col("blank") | (F.col("m.n") == 0)
+    latin = F.col("script") == "Latn"
+    code = F.when(latin, F.coalesce(F.try_element_at(macro, F.col("lang")), F.lit("und"))).otherwise(F.try_element_at(mine, F.col("script")))
+    none = F.col("blank") | F.col("script").isNull()
     conf = F.when(none, 0.0).when(latin, F.col("confidence")).otherwise(1.0)
-    return df.select("doc_id", F.when(none, "und").otherwise(F.concat_ws("_", code, "m.s")).alias("lang_script"), conf.alias("confidence"), F.when(none, "").otherwise(F.col("t3")).alias("top3"), (conf < min_confidence).alias("low_confidence"))
+    return df.select("doc_id", F.when(none, "und").otherwise(F.concat_ws("_", code, "script")).alias("lang_script"), conf.alias("confidence"), F.when(none, "").otherwise(F.col("top3")).alias("top3"), (conf < min_confidence).alias("low_confidence"))
 
 
 def langcross(coarse: DataFrame, fine: DataFrame, min_confidence: float = 0.5) -> DataFrame:

@@ -435,3 +435,14 @@ def test_shingle_digests_are_those_of_the_expression(spark, monkeypatch):
     d = docs(spark, *texts)
     e = d.select("doc_id", T.is_cjk(F.col("text")).alias("c"), T.any_shingles(F.col("text"), 2).alias("g")).select("doc_id", "c", F.size("g"), F.md5(F.array_join("g", "|")))
     assert sorted(map(tuple, dedup.shingle_digests(d, 2).collect())) == sorted(map(tuple, e.collect()))
+
+
+def test_languages_in_one_walk(spark):
+    texts = ["THE cat, and the... dog; LE le! la?", "123\n456", "\n \t", "", None, "für FÜR auf", "привет мир the\nи", "中文中文中文中文 the", "a日本のひらがな\n\n", "ΑΒΓ abc", "the\x0band\x0cof\x85to"]
+    d = docs(spark, *texts, language="EN")
+    g = {r.doc_id: r for r in cleaning.glotlid(d).collect()}
+    assert [g[i].lang_script for i in range(11)] == ["eng_Latn", "und", "und", "und", "und", "deu_Latn", "rus_Cyrl", "zho_Hani", "jpn_Hira", "ell_Grek", "eng_Latn"]
+    r = {x.doc_id: x for x in cleaning.langid(d).collect()}
+    assert (r[0].lang, r[0].confidence, r[0].lang_mismatch) == ("en", round(3 / 7, 4), False) and r[0].top3 == "en,fr,es" and (r[5].lang, r[5].confidence, r[5].lang_mismatch) == ("de", 1.0, True)
+    assert r[1].lang == r[4].lang == "unknown" and r[10].confidence == 1.0
+    assert "Filter" not in cleaning.glotlid(d)._jdf.queryExecution().executedPlan().toString() and "Join" not in cleaning.glotlid(d)._jdf.queryExecution().executedPlan().toString()
