@@ -446,3 +446,18 @@ def test_languages_in_one_walk(spark):
     assert (r[0].lang, r[0].confidence, r[0].lang_mismatch) == ("en", round(3 / 7, 4), False) and r[0].top3 == "en,fr,es" and (r[5].lang, r[5].confidence, r[5].lang_mismatch) == ("de", 1.0, True)
     assert r[1].lang == r[4].lang == "unknown" and r[10].confidence == 1.0
     assert "Filter" not in cleaning.glotlid(d)._jdf.queryExecution().executedPlan().toString() and "Join" not in cleaning.glotlid(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_of_shingles_are_those_of_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "AT_ONCE", 50)
+    han = "中文文本没有空格所以按字符切分成片段再来一些字符"
+    texts = ["a  b\tc d e f g h i", "a b c d e f g h", "x " * 40, han * 2 + "\n \t" + han, "ü ö ä ß é à ô î ñ ç", "\x0bone two\x0cthree four five six seven eight nine\x85ten eleven", "", None, *(" ".join(str(i * j % 17) for j in range(60)) for i in range(9))]
+    d = docs(spark, *texts)
+    a, b = dedup.permutations(16, 1)
+    grams = {r.doc_id: r.s for r in d.select("doc_id", T.any_shingles(F.coalesce("text", F.lit("")), 5).alias("s")).collect()}
+    h = {i: [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in s] for i, s in grams.items() if len(s) >= 5}
+    want = {i: [min((x * int(p) + int(q)) % dedup.PRIME for x in v) for p, q in zip(a, b)] for i, v in h.items()}
+    sigs = dedup.minhash_signatures(d, k=16)
+    assert {r.doc_id: r.sig for r in sigs.collect()} == want and len(want) == 14
+    assert "transform(" not in sigs._jdf.queryExecution().executedPlan().toString()  # no interpreted lambda a word
+    assert [r.sig for r in dedup.minhash_signatures(docs(spark, "a b"), k=16, legacy_sentinel=True).collect()] == [[dedup.PRIME] * 16]
