@@ -461,3 +461,26 @@ def test_signatures_of_shingles_are_those_of_plain_python(spark, monkeypatch):
     assert {r.doc_id: r.sig for r in sigs.collect()} == want and len(want) == 14
     assert "transform(" not in sigs._jdf.queryExecution().executedPlan().toString()  # no interpreted lambda a word
     assert [r.sig for r in dedup.minhash_signatures(docs(spark, "a b"), k=16, legacy_sentinel=True).collect()] == [[dedup.PRIME] * 16]
+
+
+def test_ngrams_of_earlier_paragraphs_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(str(rng.randint(100, 999)) for _ in range(rng.randint(13, 40)))
+    known = [line() for _ in range(12)]
+    texts = {f"d{i:03}": "\n\n".join([*(rng.choice(known) + (" x" * 5 if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 4))), line(), "short  one " * 5 + "end", "tiny"]) for i in range(60)}
+    texts |= {"e1": "", "e2": None, "e3": known[0] + "\n\n" + known[0]}
+    d = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, text string").repartition(5)
+    first, want, grams = {}, {}, {}
+    for k in sorted(texts):
+        for i, p in enumerate(x for x in ((texts[k] or "").split("\n\n")) if len(x.strip()) >= 50):
+            w = p.split()
+            grams[k, i] = {" ".join(w[j : j + 13]) for j in range(len(w) - 12)} if len(w) >= 13 else {p.strip()}
+            for g in grams[k, i]:
+                first.setdefault(g, (k, i))
+    for k in texts:
+        o = [sum(first[g] < (k, i) for g in grams[k, i]) / len(grams[k, i]) for i in range(99) if (k, i) in grams]
+        want[k] = (len(o), round(sum(x >= 0.5 for x in o) / max(len(o), 1), 4), round(sum(o) / max(len(o), 1), 4))
+    n = dedup.ngram(d)
+    got = {r.doc_id: (r.para_count, r.para_contamination_ratio, r.mean_shingle_overlap) for r in n.collect()}
+    assert got.keys() == want.keys() and all(g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1.1e-4) for g, w in ((got[k], want[k]) for k in want))
+    assert "Window" not in n._jdf.queryExecution().executedPlan().toString() and sum(g[1] > 0 for g in got.values()) > 30
