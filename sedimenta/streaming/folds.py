@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
-from ..functions.session import shared_dir
+from ..functions.session import gathered, shared_dir
 from ..ship import ship
 from ..sources.sinks import write_shard
 
@@ -88,12 +88,12 @@ def shingle_runs(n: int = 13, text: str = "text"):
         path = f"{shared_dir(batch.sparkSession).rstrip('/')}/shingles-{uuid.uuid4().hex}"
         one = lambda t: pa.table({"shard": t.column("shard")[:1], "hashes": pa.array([_united(t).tobytes()], pa.binary())})
         packs = batch.select(F.col(text).cast("string").alias("t")).mapInArrow(_packed_shingles(n), "shard int, hashes binary")
-        packs.groupBy("shard").applyInArrow(one, "shard int, hashes binary").write.parquet(path)
+        gathered(packs, "shard", SHARDS, batch.rdd.getNumPartitions()).groupBy("shard").applyInArrow(one, "shard int, hashes binary").write.parquet(path)
         runs[batch_id] = path
 
     def result(spark) -> DataFrame:
         held = spark.read.schema("shard int, hashes binary").parquet(*runs.values()) if runs else spark.createDataFrame([], "shard int, hashes binary")
-        return held.groupBy("shard").applyInArrow(lambda t: pa.table({"shingle": _united(t).view(np.int64)}), "shingle long")
+        return gathered(held, "shard", SHARDS, held.rdd.getNumPartitions()).groupBy("shard").applyInArrow(lambda t: pa.table({"shingle": _united(t).view(np.int64)}), "shingle long")
 
     return fold, result
 

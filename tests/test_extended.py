@@ -484,3 +484,11 @@ def test_ngrams_of_earlier_paragraphs_are_those_of_brute_force(spark):
     got = {r.doc_id: (r.para_count, r.para_contamination_ratio, r.mean_shingle_overlap) for r in n.collect()}
     assert got.keys() == want.keys() and all(g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1.1e-4) for g, w in ((got[k], want[k]) for k in want))
     assert "Window" not in n._jdf.queryExecution().executedPlan().toString() and sum(g[1] > 0 for g in got.values()) > 30
+
+
+def test_tasks_of_an_exchange_follow_the_splits(spark):
+    from sedimenta.functions.session import gathered
+
+    d = spark.range(0, 100, 1, 10).select((F.col("id") % 50).alias("shard"))
+    assert [gathered(d, "shard", 512, n).rdd.getNumPartitions() for n in (0, 10, 1000)] == [4, 40, 512]
+    assert gathered(d, "shard", 512, 10).groupBy("shard").applyInArrow(lambda t: t[:1], "shard long").count() == 50
